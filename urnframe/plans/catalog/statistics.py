@@ -61,10 +61,10 @@ def _(t):
     """SELECT b.lottery_id, b.draw_number,
               string_agg(cast(n.number AS varchar), ',' ORDER BY n.position) AS numbers
        FROM baskets b JOIN numbers n ON n.draw_number = b.draw_number
-       WHERE b.draw_number > 5000 GROUP BY 1, 2""",
+       WHERE b.draw_number > 700 GROUP BY 1, 2""",
 )
 def _(t):
-    out = scan.scan_delta(t.draws, t.draw_numbers, after=5000)
+    out = scan.scan_delta(t.draws, t.draw_numbers, after=700)
     return out.select("lottery_id", "draw_number", F.array_join("numbers", ",").alias("numbers"))
 
 
@@ -115,23 +115,17 @@ def _(t):
 
 @job(
     "find_draw",
-    "SELECT lottery_id, draw_number, draw_date FROM draws d WHERE draw_number = 77 "
-    "AND lottery_id = (SELECT lottery_id FROM draws WHERE draw_number = 77)",
+    "SELECT lottery_id, draw_number, draw_date FROM draws WHERE lottery_id = 5 AND draw_number = 0",
 )
 def _(t):
-    parts = [lookup.find_draw(t.draws, k, 77) for k in range(1, 6)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("lottery_id", "draw_number", "draw_date")
+    return lookup.find_draw(t.draws, 5, 0).select("lottery_id", "draw_number", "draw_date")
 
 
 @job(
     "visible_draws",
     """edits AS (
-         SELECT lottery_id, draw_number, 1 AS seq, true AS flag FROM draws WHERE draw_number % 7 = 0
-         UNION ALL SELECT lottery_id, draw_number, 2, false FROM draws WHERE draw_number % 14 = 0
-         UNION ALL SELECT lottery_id, draw_number, 3, true FROM draws WHERE draw_number % 70 = 0),
+         SELECT lottery_id, draw_number, 1 AS seq, true AS flag FROM draws WHERE winners IS NULL
+         UNION ALL SELECT lottery_id, draw_number, 2, false FROM draws WHERE jackpot IS NULL),
        latest AS (
          SELECT lottery_id, draw_number, flag,
                 row_number() OVER (PARTITION BY draw_number ORDER BY seq DESC) AS r FROM edits)
@@ -140,15 +134,15 @@ def _(t):
        WHERE NOT coalesce(l.flag, d.is_deleted)""",
 )
 def _(t):
-    steps = F.expr(
-        "filter(array(if(draw_number % 7 = 0, struct(1 as seq, true as flag), null),"
-        " if(draw_number % 14 = 0, struct(2 as seq, false as flag), null),"
-        " if(draw_number % 70 = 0, struct(3 as seq, true as flag), null)), e -> e is not null)"
+    deleted = t.draws.where("winners is null").selectExpr(
+        "lottery_id", "draw_number", "1 as seq", "true as is_deleted"
+    )
+    restored = t.draws.where("jackpot is null").selectExpr(
+        "lottery_id", "draw_number", "2 as seq", "false as is_deleted"
     )
-    edits = t.draws.select("lottery_id", "draw_number", F.explode(steps).alias("e")).select(
-        "lottery_id", "draw_number", "e.seq", F.col("e.flag").alias("is_deleted")
+    return scan.visible_draws(deleted.unionByName(restored), t.draws).select(
+        "lottery_id", "draw_number"
     )
-    return scan.visible_draws(edits, t.draws).select("lottery_id", "draw_number")
 
 
 @job("frequency", f"{FREQ} SELECT * FROM freq")

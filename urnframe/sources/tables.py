@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urnframe.plans.joins import checked_broadcast
+
 # Fixed rules of the derived lotteries.
 MIN_NUMBER, MAX_NUMBER, NUMBERS_TO_SELECT, SUPER_MIN, SUPER_MAX = 1, 45, 4, 1, 16
 
@@ -30,7 +32,7 @@ class Tables:
     @cached_property
     def lottery(self) -> DataFrame:
         code = F.col("o_orderpriority")
-        return (
+        rules = (
             self.raw("orders")
             .groupBy(code.alias("code"))
             .agg(F.lit(1).alias("_one"))
@@ -44,6 +46,7 @@ class Tables:
                 F.lit(SUPER_MAX).alias("super_max"),
             )
         )
+        return checked_broadcast(rules)
 
     @cached_property
     def draws(self) -> DataFrame:
