@@ -115,10 +115,10 @@ def _(t):
 
 @job(
     "find_draw",
-    "SELECT lottery_id, draw_number, draw_date FROM draws WHERE lottery_id = 5 AND draw_number = 0",
+    "SELECT lottery_id, draw_number, draw_date FROM draws WHERE lottery_id = 2 AND draw_number = 17",
 )
 def _(t):
-    return lookup.find_draw(t.draws, 5, 0).select("lottery_id", "draw_number", "draw_date")
+    return lookup.find_draw(t.draws, 2, 17).select("lottery_id", "draw_number", "draw_date")
 
 
 @job(

@@ -62,6 +62,6 @@ def with_views(body: str) -> str:
     """Prefix ``body`` (a SELECT, or ``name AS (...), ... SELECT``) with the shared views."""
     views = VIEWS.strip() + (",\n" + RAW_DRAWS.strip() if "raw_draws" in body else "")
     body = body.strip()
-    if body.upper().startswith("SELECT"):
+    if body.split(maxsplit=1)[0].upper() == "SELECT":
         return f"WITH {views}\n{body}"
     return f"WITH {views},\n{body}"
