@@ -106,21 +106,32 @@ def path_counts(edges: DataFrame) -> DataFrame:
             F.lit(1.0).alias("paths"),
         )
     )
-    visited, hop = frontier, 0
+    levels, hop = [frontier], 0
     while True:
         hop += 1
-        reached = (
-            frontier.join(step, ["lottery_id", "dst"])
-            .groupBy("lottery_id", "src", F.col("next").alias("dst"))
-            .agg(F.sum("paths").alias("paths"))
+        reached = frontier.join(step, ["lottery_id", "dst"]).select(
+            "lottery_id", "src", F.col("next").alias("dst"), "paths", F.lit(False).alias("_old")
+        )
+        # A neighbour of level k lies on level k - 1, k or k + 1, so two levels tell what is new.
+        for level in levels[-2:]:
+            reached = reached.unionByName(
+                level.select("lottery_id", "src", "dst", "paths", F.lit(True).alias("_old"))
+            )
+        fresh = (
+            reached.groupBy("lottery_id", "src", "dst")
+            .agg(F.sum("paths").alias("paths"), F.max("_old").alias("_old"))
+            .where(~F.col("_old"))
         )
-        fresh = reached.join(visited, ["lottery_id", "src", "dst"], "left_anti")
         frontier, found = checkpoint_counted(
             fresh.select("lottery_id", "src", "dst", F.lit(hop).alias("dist"), "paths")
         )
         if not found:
-            return visited
-        visited = visited.unionByName(frontier)
+            break
+        levels.append(frontier)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
 
 
 def shortest_paths(edges: DataFrame) -> DataFrame:
@@ -216,18 +227,26 @@ def communities(edges: DataFrame) -> DataFrame:
     round raises modularity and the loop ends. The contracted graph shrinks round by round.
     """
     links = checkpoint_frame(symmetric(edges))
-    degrees = links.groupBy("lottery_id", F.col("src").alias("c")).agg(F.sum("weight").alias("k"))
-    degrees = checkpoint_frame(degrees)
-    total = checkpoint_frame(degrees.groupBy("lottery_id").agg(F.sum("k").cast("double").alias("m2")))
-    member = degrees.select("lottery_id", F.col("c").alias("node"), F.col("c").alias("c"))
+    total = links.groupBy("lottery_id").agg(F.sum("weight").cast("double").alias("m2"))
+    total = checkpoint_frame(total)
+    member = links.select("lottery_id", F.col("src").alias("node"), F.col("src").alias("c")).distinct()
+
+    def relabel(df: DataFrame, merged: DataFrame, column: str) -> DataFrame:
+        keys = merged.select("lottery_id", F.col("c").alias(column), "into")
+        joined = df.join(keys, ["lottery_id", column], "left")
+        return joined.withColumn(column, F.coalesce("into", column)).drop("into")
+
     while True:
-        other = degrees.select("lottery_id", F.col("c").alias("dst"), F.col("k").alias("k2"))
+        # Merged communities keep their inner weight as a loop, so degrees are sums of links.
+        degrees = links.groupBy("lottery_id", F.col("src").alias("c")).agg(F.sum("weight").alias("k"))
         own = degrees.select("lottery_id", F.col("c").alias("src"), "k")
+        other = degrees.select("lottery_id", F.col("c").alias("dst"), F.col("k").alias("k2"))
         gain = 2 * F.col("weight") / F.col("m2") - 2 * F.col("k") * F.col("k2") / (
             F.col("m2") * F.col("m2")
         )
         best = (
-            links.join(own, ["lottery_id", "src"])
+            links.where(F.col("src") != F.col("dst"))
+            .join(own, ["lottery_id", "src"])
             .join(other, ["lottery_id", "dst"])
             .join(total, "lottery_id")
             .withColumn("gain", gain)
@@ -235,27 +254,22 @@ def communities(edges: DataFrame) -> DataFrame:
             .groupBy("lottery_id", "src")
             .agg(F.max_by("dst", F.struct("gain", -F.col("dst"))).alias("dst"))
         )
-        back = best.select("lottery_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+        # A mutual pick is the same unordered pair chosen from both ends.
         merged, merges = checkpoint_counted(
-            best.join(back, ["lottery_id", "src", "dst"])
-            .where(F.col("src") > F.col("dst"))
-            .select("lottery_id", F.col("src").alias("c"), F.col("dst").alias("into"))
+            best.groupBy(
+                "lottery_id",
+                F.greatest("src", "dst").alias("c"),
+                F.least("src", "dst").alias("into"),
+            )
+            .agg(F.count("*").alias("_ends"))
+            .where(F.col("_ends") == 2)
+            .drop("_ends")
         )
         if not merges:
             break
-
-        def relabel(df: DataFrame, column: str) -> DataFrame:
-            keys = merged.select("lottery_id", F.col("c").alias(column), "into")
-            joined = df.join(keys, ["lottery_id", column], "left")
-            return joined.withColumn(column, F.coalesce("into", column)).drop("into")
-
-        member = checkpoint_frame(relabel(member, "c"))
-        degrees = checkpoint_frame(
-            relabel(degrees, "c").groupBy("lottery_id", "c").agg(F.sum("k").alias("k"))
-        )
+        member = relabel(member, merged, "c")
         links = checkpoint_frame(
-            relabel(relabel(links, "src"), "dst")
-            .where(F.col("src") != F.col("dst"))
+            relabel(relabel(links, merged, "src"), merged, "dst")
             .groupBy("lottery_id", "src", "dst")
             .agg(F.sum("weight").alias("weight"))
         )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["statistics", "features", "ingestion", "probability", "graphs"]
+MODULES = ["statistics", "features", "ingestion", "probability", "graphs", "training"]
 
 
 def load() -> None:

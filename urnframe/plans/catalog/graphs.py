@@ -10,7 +10,7 @@ from urnframe.plans.catalog.statistics import PAIRS, recent
 from urnframe.plans.registry import job
 from urnframe.session import checkpoint_frame
 
-SPREAD = 1.7
+SPREAD = 1.0
 HOPS = 16
 
 EDGES = f"""{PAIRS},
