@@ -6,8 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "urnframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,19 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def checkpoint_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """Write ``df`` as a table in the shared folder, continue from it, and say how many rows.
-
-    The rows are counted while they are written, so an iterative job needs one pass per round.
-    A lost executor re-reads the table; it never replays the rounds before it.
-    """
+def checkpoint_frame(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` at a written table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/frames/{uuid.uuid4().hex}"
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), int(seen.get["rows"])
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpoint_frame(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` at a written table in the shared folder."""
-    return checkpoint_counted(df)[0]
+def checkpoint_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``checkpoint_frame`` and its row count.
+
+    The count comes from the footers of the written files, so an iterative job computes each
+    round once. A lost executor re-reads the table; it never replays the rounds before it.
+    """
+    table = checkpoint_frame(df)
+    return table, table.count()
