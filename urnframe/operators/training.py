@@ -72,7 +72,7 @@ def frequency_scores(baskets: DataFrame) -> DataFrame:
     )
     score = F.round(F.col("_f") / (F.col("idx") + 1), 8)
     return counted.where(F.col("label").isNotNull()).select(
-        *KEY, "idx", "number", score.alias("score"), "label"
+        *KEY, "idx", "number", F.col("_f").alias("seen"), score.alias("score"), "label"
     )
 
 

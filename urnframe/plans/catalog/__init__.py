@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["statistics", "features", "ingestion", "probability", "graphs", "training", "backtesting"]
+MODULES = ["statistics", "features", "ingestion", "probability", "graphs", "training", "backtesting", "models"]
 
 
 def load() -> None:

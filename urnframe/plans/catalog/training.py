@@ -18,7 +18,8 @@ nexts AS (
   SELECT lottery_id, draw_number, lead(draw_number) OVER (PARTITION BY lottery_id ORDER BY draw_number) AS next_draw
   FROM baskets),
 scores AS (
-  SELECT g.lottery_id, g.draw_number, g.idx, g.number, round(g.frequency / (g.idx + 1), 8) AS score,
+  SELECT g.lottery_id, g.draw_number, g.idx, g.number, g.frequency AS seen,
+         round(g.frequency / (g.idx + 1), 8) AS score,
          cast(m.number IS NOT NULL AS int) AS label
   FROM grid g JOIN nexts x ON x.draw_number = g.draw_number AND x.next_draw IS NOT NULL
   LEFT JOIN members m ON m.draw_number = x.next_draw AND m.number = g.number)"""
@@ -33,19 +34,19 @@ predictions AS (
   FROM scores s JOIN cuts c ON c.lottery_id = s.lottery_id WHERE s.draw_number > c.cut)"""
 
 
-def metric_sql(zero: float) -> str:
+def metric_sql(zero: float, predictions: str = "predictions", name: str = "per_number") -> str:
     return f"""
-counts AS (
+{name}_counts AS (
   SELECT lottery_id, number, count(*) FILTER (label = 1 AND prediction = 1) AS tp,
          count(*) FILTER (label = 0 AND prediction = 1) AS fp,
          count(*) FILTER (label = 1 AND prediction = 0) AS fn,
-         count(*) FILTER (label = 0 AND prediction = 0) AS tn FROM predictions GROUP BY 1, 2),
-per_number AS (
+         count(*) FILTER (label = 0 AND prediction = 0) AS tn FROM {predictions} GROUP BY 1, 2),
+{name} AS (
   SELECT *, (tp + tn) / (tp + fp + fn + tn) AS accuracy,
          CASE WHEN tp + fp = 0 THEN {zero} ELSE tp / (tp + fp) END AS "precision",
          CASE WHEN tp + fn = 0 THEN {zero} ELSE tp / (tp + fn) END AS recall,
          CASE WHEN 2 * tp + fp + fn = 0 THEN {zero} ELSE 2 * tp / (2 * tp + fp + fn) END AS f1
-  FROM counts)"""
+  FROM {name}_counts)"""
 
 
 NAMES = ["accuracy", "precision", "recall", "f1"]
@@ -72,7 +73,7 @@ def _(t):
 
 @job("frequency_scores", f"{SCORES} SELECT lottery_id, draw_number, number, score, label FROM scores")
 def _(t):
-    return training.frequency_scores(t.baskets).drop("idx")
+    return training.frequency_scores(t.baskets).drop("idx", "seen")
 
 
 @job(

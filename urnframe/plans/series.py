@@ -122,3 +122,19 @@ def framed(
         .where(F.col("_chunk") == home)
         .drop("_chunk")
     )
+
+
+def total_rank(
+    df: DataFrame, part: Sequence[str], key: str, tie: str, out: str = "rank", **kw
+) -> DataFrame:
+    """1-based rank by the integer ``key``, equal keys ordered by the unique integer ``tie``.
+
+    Rows ahead are those with a lower key, from a running count over the distinct keys, plus
+    those before the row in its own key.
+    """
+    part = list(part)
+    sizes = df.groupBy(*part, key).agg(F.count("*").alias("_n"))
+    below = running(sizes, part, key, {"_below": ("sum", F.col("_n"))}, exclusive=True, **kw)
+    placed = running(df, [*part, key], tie, {"_in": ("sum", F.lit(1).cast("long"))}, **kw)
+    joined = placed.join(below.select(*part, key, "_below"), [*part, key])
+    return joined.select(*df.columns, (F.col("_below") + F.col("_in")).alias(out))
