@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["statistics", "features", "ingestion", "probability", "graphs", "training", "backtesting", "models"]
+MODULES = [
+    "statistics",
+    "features",
+    "ingestion",
+    "probability",
+    "graphs",
+    "training",
+    "backtesting",
+    "models",
+    "texts",
+]
 
 
 def load() -> None:
