@@ -14,6 +14,7 @@ MODULES = [
     "backtesting",
     "models",
     "texts",
+    "streams",
 ]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +23,14 @@ class HeaderError(ValueError):
         self.codes = list(codes)
 
 
+def file_place() -> list[Column]:
+    """Where a row lies in its file."""
+    return [
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    ]
+
+
 def header_problems(columns: Sequence[str]) -> list[str]:
     """Codes for an empty, incomplete, foreign or reordered header."""
     names = [c.strip().lower() for c in columns]
@@ -76,22 +84,20 @@ def read_draw_csv(spark: SparkSession, path: str, check: bool = True) -> DataFra
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
+    return number_lines(rows.select("*", *file_place()))
+
+
+def number_lines(rows: DataFrame) -> DataFrame:
+    """Replace the file place of every row by its line number; see :func:`read_draw_csv`."""
+    place = ["source_file", "_block"]
+    extra = [c for c in rows.columns if c not in HEADER and c not in place]
     cells = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in HEADER]
-    extra = [c for c in rows.columns if c not in HEADER]
-    placed = rows.select(
-        *extra,
-        *cells,
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"),
-    )
-    blocks = placed.groupBy("source_file", "_block").agg(
-        F.min("_at").alias("_first"), F.count("*").alias("_n")
-    )
+    placed = rows.select(*place, *extra, *cells, F.monotonically_increasing_id().alias("_at"))
+    blocks = placed.groupBy(*place).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     order = W.partitionBy("source_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
     line = F.col("_before") + F.col("_at") - F.col("_first") + 2
-    return placed.join(offsets, ["source_file", "_block"]).select(
+    return placed.join(offsets, place).select(
         "source_file", *extra, line.alias("row_number"), *HEADER
     )
 
