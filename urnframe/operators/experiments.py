@@ -77,7 +77,7 @@ def compare_runs(merged: DataFrame, wanted: DataFrame, names: Sequence[str]) ->
 def run_ids_key(comparisons: DataFrame, payload: str = "comparison_json") -> DataFrame:
     """Sorted run ids of a comparison as text; null where the JSON is unreadable."""
     parsed = F.from_json(payload, "struct<runs:array<struct<run_id:bigint>>>")
-    ids = F.array_sort(parsed["runs"]["run_id"])
+    ids = F.sort_array(parsed["runs"]["run_id"])
     key = F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
     return comparisons.withColumn("run_ids_key", F.when(F.size(ids) > 0, key))
 

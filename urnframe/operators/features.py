@@ -97,7 +97,7 @@ def basket_features(baskets: DataFrame, lottery: DataFrame, names: Iterable[str]
 def decade_distribution(baskets: DataFrame) -> DataFrame:
     """Map of band start (1, 11, 21, ...) to how many numbers of the draw fall in it."""
     bands = F.transform("numbers", lambda x: F.floor((x - 1) / 10).cast("int") * 10 + 1)
-    starts = F.array_sort(F.array_distinct("_bands"))
+    starts = F.sort_array(F.array_distinct("_bands"))
     counted = F.transform(
         starts,
         lambda b: F.struct(
@@ -182,7 +182,7 @@ def number_grid(baskets: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
         .groupBy("lottery_id", "number")
         .agg(F.lit(1).alias("_one"))
         .groupBy("lottery_id")
-        .agg(F.array_sort(F.collect_list("number")).alias("_seen"))
+        .agg(F.sort_array(F.collect_list("number")).alias("_seen"))
     )
     rows = with_dimension(baskets.select(*KEY, "numbers", *keep), seen, "lottery_id")
     hit = F.array_contains(F.col("numbers"), F.col("number")).cast("long")
@@ -202,7 +202,7 @@ def current_frequency(baskets: DataFrame) -> DataFrame:
 
 def current_frequency_map(baskets: DataFrame) -> DataFrame:
     """``current_frequency`` as one map per draw, at most one entry per number."""
-    entries = F.array_sort(F.collect_list(F.struct("number", "frequency")))
+    entries = F.sort_array(F.collect_list(F.struct("number", "frequency")))
     return (
         current_frequency(baskets)
         .groupBy(*KEY)

@@ -20,7 +20,7 @@ def strip(name: str) -> Column:
     return F.trim(F.coalesce(F.col(name), F.lit("")), F.lit(BLANKS))
 
 
-def tokens() -> Column:
+def split_tokens() -> Column:
     parts = F.transform(
         F.split(F.coalesce("numbers", F.lit("")), ","), lambda p: F.trim(p, F.lit(BLANKS))
     )
@@ -29,10 +29,16 @@ def tokens() -> Column:
 
 def digit_values() -> Column:
     """Integer tokens; one too long for a bigint counts as the largest bigint."""
-    digits = F.filter(tokens(), lambda p: p.rlike(DIGITS))
+    digits = F.filter("_tokens", lambda p: p.rlike(DIGITS))
     return F.transform(digits, lambda p: F.coalesce(p.try_cast("long"), F.lit(2**63 - 1)))
 
 
+def with_tokens(raw: DataFrame) -> DataFrame:
+    """Split the number cell once; the checks share the result."""
+    split = raw.withColumn("_tokens", split_tokens())
+    return split.withColumn("_values", digit_values())
+
+
 def error(code: str, message: Column) -> Column:
     return F.struct(F.lit(code).alias("code"), message.alias("message"))
 
@@ -63,14 +69,14 @@ def number_out_of_range() -> Column:
         inside = value.between(F.col("min_number"), F.col("max_number"))
         return ~token.rlike(DIGITS) | ~F.coalesce(inside, F.lit(False))
 
-    bad = F.filter(tokens(), wrong)
+    bad = F.filter("_tokens", wrong)
     return F.transform(
         bad, lambda p: error("number_out_of_range", F.concat(F.lit("number: "), p))
     )
 
 
 def wrong_count() -> Column:
-    n = F.size(digit_values())
+    n = F.size("_values")
     text = F.concat(n.cast("string"), F.lit(" of "), F.col("numbers_to_select").cast("string"))
     few = F.array(error("too_few_numbers", text))
     many = F.array(error("too_many_numbers", text))
@@ -78,8 +84,7 @@ def wrong_count() -> Column:
 
 
 def duplicate_in_draw() -> Column:
-    values = digit_values()
-    repeated = F.size(F.array_distinct(values)) < F.size(values)
+    repeated = F.size(F.array_distinct("_values")) < F.size("_values")
     return _one(repeated, "duplicate_in_draw", F.lit("a number repeats"))
 
 
@@ -121,7 +126,7 @@ def validate_rows(raw: DataFrame, lottery: DataFrame, checks: list[str] | None =
     found = [CHECKS[c]() for c in (checks or CHECKS)]
     empty = F.array().cast("array<struct<code:string,message:string>>")
     errors = F.flatten(F.array(*[F.coalesce(e, empty) for e in found]))
-    ruled = with_dimension(raw, rules, "lottery_id")
+    ruled = with_tokens(with_dimension(raw, rules, "lottery_id"))
     return ruled.select(*[F.col(c) for c in raw.columns], errors.alias("errors"))
 
 
@@ -138,12 +143,12 @@ def rows_with(raw: DataFrame, lottery: DataFrame, check: str) -> DataFrame:
 
 def normalize_rows(raw: DataFrame) -> DataFrame:
     """Typed columns; anything unreadable or blank becomes null."""
-    return raw.select(
+    return with_tokens(raw).select(
         "lottery_id",
         "row_number",
         strip("draw_number").try_cast("long").alias("draw_number"),
         F.try_to_date(strip("draw_date"), "yyyy-MM-dd").alias("draw_date"),
-        F.transform(digit_values(), lambda v: v.try_cast("int")).alias("numbers"),
+        F.transform("_values", lambda v: v.try_cast("int")).alias("numbers"),
         strip("super_number").try_cast("int").alias("super_number"),
         strip("jackpot").try_cast("decimal(18,2)").alias("jackpot"),
         strip("winners").try_cast("long").alias("winners"),

@@ -45,7 +45,7 @@ def nearest(train: DataFrame, wanted: DataFrame, k: int = 5, per_cell: int = 16)
         .withColumn("_r", F.row_number().over(order))
         .where(F.col("_r") <= k)
         .groupBy(*vector)
-        .agg(F.array_sort(F.collect_list("draw_number")).alias("draws"))
+        .agg(F.sort_array(F.collect_list("draw_number")).alias("draws"))
     )
     base = checkpoint_frame(base)
     size = base.agg(
@@ -62,25 +62,33 @@ def nearest(train: DataFrame, wanted: DataFrame, k: int = 5, per_cell: int = 16)
 
     shapes = wanted.groupBy(*vector).agg(F.min("draw_number").alias("shape"))
     grid = checkpoint_frame(_cells(base, width))
-    waiting = _cells(shapes, width).withColumn("reach", F.lit(1).cast("long"))
+    # ``within`` is the squared k-th distance known so far: nothing beyond it can be a neighbour.
+    waiting = _cells(shapes, width).select(
+        "*", F.lit(1).cast("long").alias("reach"), F.lit(float("inf")).alias("within")
+    )
     waiting, left = checkpoint_counted(waiting)
     found = []
     while left:
-        probes, covers = waiting, F.lit(True)
+        probes, covers, apart = waiting, F.lit(True), F.lit(0.0)
         for i in range(len(AXES)):
             first = F.greatest(F.col(f"c{i}") - F.col("reach"), F.lit(low[i]))
             last = F.least(F.col(f"c{i}") + F.col("reach"), F.lit(high[i]))
             ring = F.when(first <= last, F.sequence(first, last)).otherwise(F.array())
             probes = probes.withColumn(f"p{i}", F.explode(ring))
+            low_side = F.col(f"p{i}") * width - F.col(AXES[i])
+            high_side = F.col(AXES[i]) - (F.col(f"p{i}") + 1) * width
+            apart = apart + F.pow(F.greatest(low_side, high_side, F.lit(0.0)), 2)
             covers = covers & (F.col(f"c{i}") - F.col("reach") <= low[i])
             covers = covers & (F.col(f"c{i}") + F.col("reach") >= high[i])
+        probes = probes.where(apart <= F.col("within") + 1e-6)
         meet = F.col("w.lottery_id") == F.col("t.lottery_id")
         for i in range(len(AXES)):
             meet = meet & (F.col(f"w.p{i}") == F.col(f"t.c{i}"))
         pairs = (
             probes.alias("w")
             .join(grid.alias("t"), meet)
-            .select("w.lottery_id", "w.shape", _distance("w", "t").alias("d2"), "t.draws")
+            .select("w.lottery_id", "w.shape", "w.within", _distance("w", "t").alias("d2"), "t.draws")
+            .where(F.col("d2") <= F.col("within"))
             .select("lottery_id", "shape", "d2", F.explode("draws").alias("neighbor"))
         )
         best = W.partitionBy("lottery_id", "shape").orderBy("d2", "neighbor")
@@ -96,12 +104,15 @@ def nearest(train: DataFrame, wanted: DataFrame, k: int = 5, per_cell: int = 16)
             *waiting.columns,
             (near | covers).alias("_done"),
             F.when(full, enough).otherwise(F.col("reach") * 2).alias("_next"),
+            F.when(full, F.col("_d")).otherwise(F.lit(float("inf"))).alias("_limit"),
         )
         judged = checkpoint_frame(judged)
         done = judged.where("_done").select("lottery_id", "shape")
         found.append(top.join(done, ["lottery_id", "shape"], "left_semi"))
         waiting, left = checkpoint_counted(
-            judged.where("not _done").withColumn("reach", F.col("_next")).select(*waiting.columns)
+            judged.where("not _done")
+            .withColumns({"reach": F.col("_next"), "within": F.col("_limit")})
+            .select(*waiting.columns)
         )
     every = found[0]
     for part in found[1:]:

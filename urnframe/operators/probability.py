@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from urnframe.functions.columns import choose, factorial_of, hash_text, rounded
 from urnframe.operators.scan import last_draws
 from urnframe.operators.stats import draw_scope, frequency
-from urnframe.plans.joins import with_dimension
+from urnframe.plans.joins import spread, with_dimension
 from urnframe.plans.series import running
 
 MODELS: dict[str, Callable[..., DataFrame]] = {}
@@ -67,7 +67,7 @@ def seeded_picks(rows: DataFrame, keys: list[str], seed: int, low, high, count)
             hash_text(F.lit(seed), *[F.col(k) for k in keys], n).alias("h"), n.alias("n")
         ),
     )
-    return rows.withColumn("picks", F.slice(F.array_sort(scored), F.lit(1), count)["n"])
+    return rows.withColumn("picks", F.slice(F.sort_array(scored), F.lit(1), count)["n"])
 
 
 def monte_carlo(sims: DataFrame, lottery: DataFrame, seed: int) -> DataFrame:
@@ -77,7 +77,7 @@ def monte_carlo(sims: DataFrame, lottery: DataFrame, seed: int) -> DataFrame:
     so only the counted numbers are shuffled.
     """
     rules = lottery.select("lottery_id", "min_number", "max_number", "numbers_to_select")
-    ruled = with_dimension(sims, rules, "lottery_id")
+    ruled = with_dimension(spread(sims, "lottery_id", "sim"), rules, "lottery_id")
     picked = seeded_picks(
         ruled,
         ["lottery_id", "sim"],

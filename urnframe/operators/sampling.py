@@ -60,7 +60,7 @@ def validate_combination(
 
 
 def set_text(numbers: str = "numbers") -> Column:
-    ordered = F.array_sort(F.array_distinct(numbers))
+    ordered = F.sort_array(F.array_distinct(numbers))
     return F.array_join(ordered.cast("array<string>"), ",")
 
 
@@ -79,7 +79,7 @@ def cumulative(pool: DataFrame) -> DataFrame:
     running_sum = F.sum("weight").over(order) / F.sum("weight").over(whole)
     steps = pool.select("lottery_id", "rank", "number", running_sum.alias("upper"))
     return steps.groupBy("lottery_id", "rank").agg(
-        F.array_sort(F.collect_list(F.struct("upper", "number"))).alias("steps")
+        F.sort_array(F.collect_list(F.struct("upper", "number"))).alias("steps")
     )
 
 
@@ -114,7 +114,7 @@ def sample_combinations(
                 F.filter("steps", lambda s: s["upper"] > uniform(*parts, i)), 1
             )["number"],
         )
-        made = ruled.withColumn("numbers", F.array_sort(picks))
+        made = ruled.withColumn("numbers", F.sort_array(picks))
         valid = validate_combination(
             F.col("numbers"),
             F.col("numbers_to_select"),

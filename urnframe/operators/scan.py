@@ -18,7 +18,7 @@ def scan_draws(draws: DataFrame, draw_numbers: DataFrame, after: int | None = No
     if after is not None:
         visible = visible.where(F.col("draw_number") > after)
         draw_numbers = draw_numbers.where(F.col("draw_number") > after)
-    ordered = F.array_sort(F.collect_list(F.struct("position", "number")))["number"]
+    ordered = F.sort_array(F.collect_list(F.struct("position", "number")))["number"]
     picked = draw_numbers.groupBy(*KEY).agg(ordered.alias("numbers"))
     return visible.join(picked, KEY)
 

@@ -138,7 +138,7 @@ def report_lines(
 
 def report_text(lines: DataFrame) -> DataFrame:
     """One text per lottery and section: heading, then its lines (at most a few per number)."""
-    ordered = F.array_sort(F.collect_list(F.struct("sort_key", "line")))["line"]
+    ordered = F.sort_array(F.collect_list(F.struct("sort_key", "line")))["line"]
     heading = F.lit(None).cast("string")
     for section, words in HEADINGS.items():
         heading = F.when(F.col("section") == section, F.lit(words)).otherwise(heading)

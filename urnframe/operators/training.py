@@ -51,7 +51,7 @@ def next_draw_targets(baskets: DataFrame) -> DataFrame:
         .groupBy("lottery_id", "number")
         .agg(F.lit(1).alias("_one"))
         .groupBy("lottery_id")
-        .agg(F.array_sort(F.collect_list("number")).alias("_seen"))
+        .agg(F.sort_array(F.collect_list("number")).alias("_seen"))
     )
     label = F.array_contains(F.col("next_numbers"), F.col("number")).cast("int")
     return (

@@ -244,14 +244,14 @@ sets AS (
 @job("frequent_itemsets", f"{ITEMS} SELECT items, freq FROM sets, least WHERE freq >= c")
 def _(t):
     found, _rules = extras.frequent_itemsets(t.baskets, SUPPORT)
-    return found.select(F.array_join(F.array_sort("items"), " ").alias("items"), "freq")
+    return found.select(F.array_join(F.sort_array("items"), " ").alias("items"), "freq")
 
 
 @job("association_rules")
 def _(t):
     _found, rules = extras.frequent_itemsets(t.baskets, SUPPORT)
     return rules.select(
-        F.array_join(F.array_sort("antecedent"), " ").alias("antecedent"),
+        F.array_join(F.sort_array("antecedent"), " ").alias("antecedent"),
         F.array_join("consequent", " ").alias("consequent"),
         rounded("confidence").alias("confidence"),
         rounded("lift").alias("lift"),

@@ -24,3 +24,15 @@ def with_dimension(
     and otherwise sort-merges, splitting the partitions of hot lotteries.
     """
     return big.join(small, on, how)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash slim rows over all cores before work that costs far more than moving them.
+
+    Partitions sized by bytes would leave most cores idle: a row of two integers may stand for
+    dozens of hashes.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    n = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)

@@ -21,6 +21,8 @@ def get_session(app: str = "urnframe", master: str | None = None, **conf: str) -
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Small shuffles feed CPU-heavy rows (pairs, hashes): keep all cores busy on them.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     for key, value in {**defaults, **conf}.items():

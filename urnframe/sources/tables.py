@@ -76,7 +76,7 @@ class Tables:
     @cached_property
     def _picked(self) -> DataFrame:
         """One row per draw with its numbers in position order; at most 45 of them."""
-        ordered = F.array_sort(F.collect_list(F.struct("line", "number")))
+        ordered = F.sort_array(F.collect_list(F.struct("line", "number")))
         return self._members.groupBy("draw_number").agg(ordered["number"].alias("numbers"))
 
     @cached_property
@@ -132,7 +132,7 @@ class Tables:
             )
             .agg(F.lit(1).alias("_one"))
             .groupBy("o_orderkey")
-            .agg(F.array_sort(F.collect_list(F.struct("line", "number")))["number"].alias("tokens"))
+            .agg(F.sort_array(F.collect_list(F.struct("line", "number")))["number"].alias("tokens"))
         )
         key = F.col("o_orderkey")
         plain = F.array_join(F.col("tokens").cast("array<string>"), ",")

@@ -114,7 +114,7 @@ def stream_frequency(numbers: DataFrame) -> DataFrame:
 def windowed_draws(events: DataFrame, time: str, by: str, item: str, window: Column) -> DataFrame:
     """Baskets of distinct items per key and time window; the item universe bounds a basket."""
     return events.groupBy(by, window.alias("w")).agg(
-        F.array_sort(F.collect_set(item)).alias("items")
+        F.sort_array(F.collect_set(item)).alias("items")
     ).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "items")
 
 
