@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urnframe.functions.columns import hash_int, rounded
-from urnframe.operators.probability import seeded_picks
+from urnframe.operators.probability import pick_column
 
 LOTTERY = ["lottery_id"]
 EVAL = ["lottery_id", "window", "draw_number"]
@@ -121,8 +121,8 @@ def uniform_benchmark(evals: DataFrame, lottery: DataFrame, seed: int, k: int =
     """``k`` distinct numbers of the pool, seeded per window and draw."""
     rules = lottery.select("lottery_id", "min_number", "max_number")
     ruled = evals.select(*EVAL).join(rules, "lottery_id")
-    picked = seeded_picks(ruled, EVAL, seed, F.col("min_number"), F.col("max_number"), F.lit(k))
-    return picked.select(*EVAL, F.sort_array("picks").alias("picks"))
+    picks = pick_column(EVAL, seed, F.col("min_number"), F.col("max_number"), F.lit(k))
+    return ruled.select(*EVAL, F.sort_array(picks).alias("picks"))
 
 
 def hypergeometric_benchmark(evals: DataFrame, lottery: DataFrame, seed: int, k: int = 5):
@@ -215,7 +215,7 @@ def predictions(
     rules = lottery.select("lottery_id", "min_number", "max_number")
     ruled = evals.join(rules, "lottery_id")
     low, high = F.col("min_number"), F.col("max_number")
-    uniform = seeded_picks(ruled, EVAL, seed, low, high, F.lit(k)).withColumnRenamed("picks", "_u")
+    uniform = pick_column(EVAL, seed, low, high, F.lit(k))
     repeated = F.transform(
         F.sequence(F.lit(1), F.lit(k)),
         lambda i: (
@@ -224,10 +224,10 @@ def predictions(
     )
     choices = F.array(
         F.struct(F.lit("static").alias("predictor"), static_picks(k).alias("picks")),
-        F.struct(F.lit("uniform").alias("predictor"), F.sort_array("_u").alias("picks")),
+        F.struct(F.lit("uniform").alias("predictor"), F.sort_array(uniform).alias("picks")),
         F.struct(F.lit("hypergeometric").alias("predictor"), F.sort_array(repeated).alias("picks")),
     )
-    return uniform.select(*EVAL, "numbers", F.explode(choices).alias("p")).select(
+    return ruled.select(*EVAL, "numbers", F.explode(choices).alias("p")).select(
         *EVAL, "numbers", "p.predictor", "p.picks"
     )
 

@@ -19,7 +19,8 @@ def cooccurrence(baskets: DataFrame) -> DataFrame:
     of the universe, which bounds its pairs.
     """
     ordered = baskets.select("lottery_id", F.sort_array("numbers").alias("_s"))
-    first = ordered.select("lottery_id", "_s", F.posexplode("_s").alias("_i", "a"))
+    # A basket is never empty; the outer form keeps Spark from sorting again for a size filter.
+    first = ordered.select("lottery_id", "_s", F.posexplode_outer("_s").alias("_i", "a"))
     rest = F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s")))
     return (
         first.select("lottery_id", "a", rest.alias("b"))

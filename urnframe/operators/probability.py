@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,15 +59,15 @@ def empirical(baskets: DataFrame) -> DataFrame:
     return joined.select("lottery_id", "number", (F.col("n") / F.col("draw_count")).alias("value"))
 
 
-def seeded_picks(rows: DataFrame, keys: list[str], seed: int, low, high, count) -> DataFrame:
-    """``count`` distinct numbers of [low, high] per row, the lowest hashes first."""
+def pick_column(keys: list[str], seed: int, low, high, count) -> Column:
+    """``count`` distinct numbers of [low, high], the lowest hashes of the row's keys first."""
     scored = F.transform(
         F.sequence(low, high),
         lambda n: F.struct(
             hash_text(F.lit(seed), *[F.col(k) for k in keys], n).alias("h"), n.alias("n")
         ),
     )
-    return rows.withColumn("picks", F.slice(F.sort_array(scored), F.lit(1), count)["n"])
+    return F.slice(F.sort_array(scored), F.lit(1), count)["n"]
 
 
 def monte_carlo(sims: DataFrame, lottery: DataFrame, seed: int) -> DataFrame:
@@ -78,16 +78,16 @@ def monte_carlo(sims: DataFrame, lottery: DataFrame, seed: int) -> DataFrame:
     """
     rules = lottery.select("lottery_id", "min_number", "max_number", "numbers_to_select")
     ruled = with_dimension(spread(sims, "lottery_id", "sim"), rules, "lottery_id")
-    picked = seeded_picks(
-        ruled,
+    picks = pick_column(
         ["lottery_id", "sim"],
         seed,
         F.col("min_number"),
         F.col("max_number"),
         F.col("numbers_to_select"),
     )
+    # Exploded in place: a named array column would be evaluated again by an inferred filter.
     hits = (
-        picked.select("lottery_id", F.explode("picks").alias("number"))
+        ruled.select("lottery_id", F.explode(picks).alias("number"))
         .groupBy("lottery_id", "number")
         .agg(F.count("*").alias("n"))
     )

@@ -57,8 +57,9 @@ def quarantine_errors(validated: DataFrame, path: str | None = None) -> DataFram
         "row_number",
         "draw_number",
         raw.alias("raw_row"),
-        F.posexplode("errors").alias("error_no", "e"),
-    ).select(
+        # The outer form validates once; a plain explode would add a filter on the error list.
+        F.posexplode_outer("errors").alias("error_no", "e"),
+    ).where(F.col("e").isNotNull()).select(
         "lottery_id",
         "row_number",
         "draw_number",
