@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from urnframe.functions.columns import quantize
 from urnframe.plans.series import running
 
-SCORE_SCALE = 10**8  # scores are compared at eight decimals
+SCORE_SCALE = 10**12  # scores are compared at twelve decimals
+SCORE_BITS = 24  # width of a chunk of scaled scores
 
 
 def classification_metrics(
@@ -56,7 +57,7 @@ def roc_auc(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
     counted = predictions.groupBy(*by, _score_key().alias("_k")).agg(
         F.count("*").alias("_n"), F.count_if(F.col("label") == 1).alias("_p")
     )
-    ranked = running(counted, by, "_k", {"_below": ("sum", F.col("_n"))}, exclusive=True)
+    ranked = running(counted, by, "_k", {"_below": ("sum", F.col("_n"))}, exclusive=True, bits=SCORE_BITS)
     ranks = F.sum(F.col("_p") * (F.col("_below") + (F.col("_n") + 1) / 2))
     sums = ranked.groupBy(*by).agg(
         ranks.alias("_r"), F.sum("_p").alias("_p"), F.sum(F.col("_n") - F.col("_p")).alias("_q")
@@ -86,7 +87,7 @@ def trapezoid_auc(predictions: DataFrame, by: Sequence[str], tie: str = "draw_nu
         F.count_if(negative).alias("_q"),
         F.sum(F.when(negative, F.col("_ahead")).otherwise(0)).alias("_same"),
     )
-    ranked = running(per_score, by, "_k", {"_higher": ("sum", F.col("_p"))}, exclusive=True)
+    ranked = running(per_score, by, "_k", {"_higher": ("sum", F.col("_p"))}, exclusive=True, bits=SCORE_BITS)
     sums = ranked.groupBy(*by).agg(
         F.sum("_p").cast("double").alias("_p"),
         F.sum("_q").cast("double").alias("_q"),

@@ -70,7 +70,7 @@ def frequency_scores(baskets: DataFrame) -> DataFrame:
     counted = running(
         slim, ["lottery_id", "number"], "draw_number", {"_f": ("sum", F.col("hit"))}
     )
-    score = F.round(F.col("_f") / (F.col("idx") + 1), 8)
+    score = F.col("_f") / (F.col("idx") + 1)
     return counted.where(F.col("label").isNotNull()).select(
         *KEY, "idx", "number", F.col("_f").alias("seen"), score.alias("score"), "label"
     )

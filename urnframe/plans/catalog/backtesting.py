@@ -174,7 +174,7 @@ def _(t):
       FROM baskets b JOIN (SELECT DISTINCT lottery_id, number FROM numbers) s ON s.lottery_id = b.lottery_id
       LEFT JOIN members m ON m.draw_number = b.draw_number AND m.number = s.number),
     ranked AS (
-      SELECT *, row_number() OVER (PARTITION BY draw_number ORDER BY round(f / (idx + 1), 8) DESC, number) AS r,
+      SELECT *, row_number() OVER (PARTITION BY draw_number ORDER BY f / (idx + 1) DESC, number) AS r,
              max(idx) OVER (PARTITION BY lottery_id) AS last_idx FROM grid)
     SELECT lottery_id, draw_number, string_agg(cast(number AS varchar), ',' ORDER BY number) AS picks
     FROM ranked WHERE r <= 5 AND idx < last_idx GROUP BY 1, 2""",

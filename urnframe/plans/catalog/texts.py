@@ -148,6 +148,49 @@ def _(t):
     return extras.member_counts(t.baskets, t.lottery)
 
 
+STATE = """seen AS (
+  SELECT n.lottery_id, n.number, b.idx, b.idx - row_number() OVER (PARTITION BY n.lottery_id, n.number ORDER BY b.idx) AS island
+  FROM numbers n JOIN baskets b ON b.draw_number = n.draw_number),
+islands AS (SELECT lottery_id, number, island, count(*) AS n, min(idx) AS lo, max(idx) AS hi FROM seen GROUP BY 1, 2, 3),
+size AS (SELECT lottery_id, max(idx) AS last FROM baskets GROUP BY 1)"""
+
+
+def _state_job(name: str, column: str, expr: str) -> None:
+    @job(
+        name,
+        f"{STATE} SELECT i.lottery_id, i.number, {expr} AS {name} "
+        "FROM islands i JOIN size s ON s.lottery_id = i.lottery_id GROUP BY 1, 2",
+    )
+    def _(t):
+        out = extras.number_state(t.baskets)
+        return out.select("lottery_id", "number", F.col(column).alias(name))
+
+
+_state_job("number_age", "age", "max(last) - min(lo)")
+_state_job("current_gap", "current_gap", "max(last) - max(hi)")
+_state_job("streak", "longest_streak", "max(n)")
+
+
+def _member_job(name: str, test: str) -> None:
+    @job(
+        name,
+        f"SELECT lottery_id, draw_number, count(*) FILTER ({test}) AS {name} FROM numbers GROUP BY 1, 2",
+    )
+    def _(t):
+        return extras.member_counts(t.baskets, t.lottery).select("lottery_id", "draw_number", name)
+
+
+for _name, _test in {
+    "prime_count": "number IN (2,3,5,7,11,13,17,19,23,29,31,37,41,43)",
+    "fibonacci_count": "number IN (1,2,3,5,8,13,21,34)",
+    "multiples_of_3": "number % 3 = 0",
+    "multiples_of_5": "number % 5 = 0",
+    "low_count": "number <= 23",
+    "high_count": "number > 23",
+}.items():
+    _member_job(_name, _test)
+
+
 @job(
     "draw_shape",
     """m AS (

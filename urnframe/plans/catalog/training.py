@@ -19,7 +19,7 @@ nexts AS (
   FROM baskets),
 scores AS (
   SELECT g.lottery_id, g.draw_number, g.idx, g.number, g.frequency AS seen,
-         round(g.frequency / (g.idx + 1), 8) AS score,
+         g.frequency / (g.idx + 1) AS score,
          cast(m.number IS NOT NULL AS int) AS label
   FROM grid g JOIN nexts x ON x.draw_number = g.draw_number AND x.next_draw IS NOT NULL
   LEFT JOIN members m ON m.draw_number = x.next_draw AND m.number = g.number)"""
@@ -71,9 +71,9 @@ def _(t):
     return training.next_draw_targets(t.baskets)
 
 
-@job("frequency_scores", f"{SCORES} SELECT lottery_id, draw_number, number, score, label FROM scores")
+@job("frequency_scores", f"{SCORES} SELECT lottery_id, draw_number, number, seen, idx, label FROM scores")
 def _(t):
-    return training.frequency_scores(t.baskets).drop("idx", "seen")
+    return training.frequency_scores(t.baskets).drop("score")
 
 
 @job(
@@ -141,13 +141,13 @@ def _(t):
 @job(
     "macro_average",
     f"""{PREDICTIONS}, {metric_sql(1.0)},
-    means AS (SELECT lottery_id, {", ".join(f'round(avg("{n}"), 6) AS "{n}"' for n in NAMES)} FROM per_number GROUP BY 1)
+    means AS (SELECT lottery_id, {", ".join(f'round(avg("{n}"), 8) AS "{n}"' for n in NAMES)} FROM per_number GROUP BY 1)
     SELECT lottery_id, metric_name, value FROM means UNPIVOT (value FOR metric_name IN (accuracy, "precision", recall, f1))""",
 )
 def _(t):
     wide = metrics.classification_metrics(predictions(t), ["lottery_id", "number"])
     long = metrics.long_metrics(wide, ["lottery_id", "number"], NAMES)
-    return six(metrics.macro_average(long, ["lottery_id"]), "value")
+    return metrics.macro_average(long, ["lottery_id"])
 
 
 @job(
@@ -156,12 +156,11 @@ def _(t):
       SELECT s.*, cast(score >= 0.09 AS int) AS prediction
       FROM scores s JOIN cuts c ON c.lottery_id = s.lottery_id WHERE s.draw_number > c.cut),
     {metric_sql(0.0)},
-    means AS (SELECT lottery_id, {", ".join(f'round(avg("{n}"), 6) AS "{n}"' for n in NAMES)} FROM per_number GROUP BY 1)
+    means AS (SELECT lottery_id, {", ".join(f'round(avg("{n}"), 8) AS "{n}"' for n in NAMES)} FROM per_number GROUP BY 1)
     SELECT lottery_id, metric_name, value FROM means UNPIVOT (value FOR metric_name IN (accuracy, "precision", recall, f1))""",
 )
 def _(t):
-    out = metrics.multilabel_metrics(predictions(t), ["lottery_id"], threshold=0.09)
-    return six(out, "value")
+    return metrics.multilabel_metrics(predictions(t), ["lottery_id"], threshold=0.09)
 
 
 METRIC_ROWS = f"""{PREDICTIONS}, {metric_sql(1.0)},
