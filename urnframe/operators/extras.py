@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from urnframe.operators.features import FEATURE_ORDER
 from urnframe.operators.scan import last_draws
 from urnframe.plans.series import dense_index, framed, running
+from urnframe.session import checkpoint_frame
 
 KEY = ["lottery_id", "draw_number"]
 NUMBER = ["lottery_id", "number"]
@@ -39,6 +40,7 @@ def number_state(baskets: DataFrame) -> DataFrame:
     indexed = dense_index(
         baskets.select("lottery_id", "draw_number", "numbers"), ["lottery_id"], "draw_number"
     )
+    indexed = checkpoint_frame(indexed)
     size = indexed.groupBy("lottery_id").agg(F.max("idx").alias("_last"))
     seen = indexed.select("lottery_id", "idx", F.explode("numbers").alias("number"))
     placed = running(seen, NUMBER, "idx", {"_k": ("sum", F.lit(1).cast("long"))})

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from urnframe.functions.columns import quantize
 from urnframe.plans.joins import with_dimension
 from urnframe.plans.series import running
+from urnframe.session import checkpoint_frame
 
 KEY = ["lottery_id", "draw_number"]
 
@@ -140,8 +141,10 @@ def max_current_gap(baskets: DataFrame, lottery: DataFrame) -> DataFrame:
         exclusive=True,
     )
     # A number's first appearance closes the interval that began with the series.
-    closed = with_prev.groupBy(*KEY).agg(
-        F.min("prev").alias("oldest"), F.max(F.col("prev").isNull()).alias("opens")
+    closed = checkpoint_frame(
+        with_prev.groupBy(*KEY).agg(
+            F.min("prev").alias("oldest"), F.max(F.col("prev").isNull()).alias("opens")
+        )
     )
     per_number = seen.groupBy("lottery_id", "number").agg(F.max("draw_number").alias("last_at"))
     tails = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from urnframe.functions.columns import rounded
 from urnframe.operators.scan import last_draws
 from urnframe.plans.series import dense_index, running
+from urnframe.session import checkpoint_frame
 
 NUMBER = ["lottery_id", "number"]
 
@@ -22,8 +23,11 @@ def positional_frequency(numbers: DataFrame) -> DataFrame:
 
 
 def _appearances(baskets: DataFrame) -> DataFrame:
-    indexed = dense_index(
-        baskets.select("lottery_id", "draw_number", "numbers"), ["lottery_id"], "draw_number"
+    # One row per draw, written once: the scan over the numbers passes over it twice.
+    indexed = checkpoint_frame(
+        dense_index(
+            baskets.select("lottery_id", "draw_number", "numbers"), ["lottery_id"], "draw_number"
+        )
     )
     return indexed.select("lottery_id", "draw_number", "idx", F.explode("numbers").alias("number"))
 

@@ -37,8 +37,15 @@ def with_next(baskets: DataFrame) -> DataFrame:
         {"next_numbers": ("last", F.col("numbers"))},
         exclusive=True,
     ).drop("_back")
-    return running(
-        ahead, ["lottery_id"], "draw_number", {"idx": ("sum", F.lit(1).cast("long"))}, exclusive=True
+    # Written once, one row per draw: the scans built on it pass over it several times.
+    return checkpoint_frame(
+        running(
+            ahead,
+            ["lottery_id"],
+            "draw_number",
+            {"idx": ("sum", F.lit(1).cast("long"))},
+            exclusive=True,
+        )
     )
 
 

@@ -68,7 +68,7 @@ def _basket_job(name: str, expr: str) -> None:
         "FROM basket b JOIN steps USING (lottery_id, draw_number)",
     )
     def _(t):
-        return features.basket_features(t.baskets, t.lottery, [name]).withColumn(
+        return features.basket_features(t.visible, t.lottery, [name]).withColumn(
             name, rounded(F.col(name).cast("double"))
         )
 
@@ -90,7 +90,7 @@ for _name, _expr in {
        FROM numbers GROUP BY 1, 2, 3""",
 )
 def _(t):
-    out = features.decade_distribution(t.baskets)
+    out = features.decade_distribution(t.visible)
     return out.select("lottery_id", "draw_number", F.explode("decades").alias("band", "n"))
 
 

@@ -59,7 +59,7 @@ def decades(of):
 
 @job("cooccurrence", f"{PAIRS} SELECT * FROM pairs")
 def _(t):
-    return graph.cooccurrence(t.baskets)
+    return graph.cooccurrence(t.visible)
 
 
 @job(
@@ -78,7 +78,7 @@ def _(t):
         UNION ALL SELECT lottery_id, b, a, weight FROM pairs""",
 )
 def _(t):
-    return graph.cooccurrence_matrix(graph.cooccurrence(t.baskets))
+    return graph.cooccurrence_matrix(graph.cooccurrence(t.visible))
 
 
 @job("adjacency", f"{EDGES} SELECT lottery_id, a, b, weight FROM edges")

@@ -84,7 +84,7 @@ def _(t):
 
 @job("explode_numbers", "SELECT lottery_id, draw_number, position, number FROM numbers")
 def _(t):
-    return scan.explode_numbers(t.baskets)
+    return scan.explode_numbers(t.visible)
 
 
 @job(
@@ -170,7 +170,7 @@ def _(t):
 
 @job("null_aware_average", f"{AVERAGES} SELECT * FROM averages")
 def _(t):
-    return stats.null_aware_average(t.baskets)
+    return stats.null_aware_average(t.visible)
 
 
 @job("entropy_base2", f"{FREQ}, {ENTROPY} SELECT * FROM entropies")
@@ -214,7 +214,7 @@ def _(t):
     WHERE rank <= 5""",
 )
 def _(t):
-    return lookup.hot_numbers(stats.last_n_counts(t.baskets, 100))
+    return lookup.hot_numbers(stats.last_n_counts(t.visible, 100))
 
 
 @job(
@@ -224,12 +224,12 @@ def _(t):
     WHERE rank <= 5""",
 )
 def _(t):
-    return lookup.cold_numbers(stats.last_n_counts(t.baskets, 100))
+    return lookup.cold_numbers(stats.last_n_counts(t.visible, 100))
 
 
 @job("last_n_counts", f"{recent(100)} SELECT * FROM counts100")
 def _(t):
-    return stats.last_n_counts(t.baskets, 100)
+    return stats.last_n_counts(t.visible, 100)
 
 
 @job(
@@ -250,7 +250,7 @@ def _(t):
     FROM grid GROUP BY 1, 2""",
 )
 def _(t):
-    hot = lookup.hot_numbers(stats.last_n_counts(t.baskets, 100))
+    hot = lookup.hot_numbers(stats.last_n_counts(t.visible, 100))
     return stats.rolling_trend(t.baskets, hot, 20)
 
 
@@ -309,5 +309,5 @@ def _(t):
     "SELECT lottery_id, draw_number, jackpot FROM baskets ORDER BY jackpot DESC NULLS LAST, draw_number",
 )
 def _(t):
-    rows = t.baskets.select("lottery_id", "draw_number", "jackpot")
+    rows = t.visible.select("lottery_id", "draw_number", "jackpot")
     return lookup.sort_rows(rows, "jackpot", "desc", tie="draw_number")

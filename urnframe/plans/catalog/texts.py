@@ -57,7 +57,7 @@ def lines(t):
     return text.report_lines(
         stats.frequency(t.numbers),
         stats.gap_summary(t.baskets),
-        stats.null_aware_average(t.baskets),
+        stats.null_aware_average(t.visible),
         probability.prob_values(t.baskets, t.lottery, ["empirical"]),
     )
 
@@ -105,7 +105,7 @@ def _(t):
         t.lottery,
         stats.hottest_coldest(counts),
         stats.gap_extremes(stats.gap_summary(t.baskets)),
-        stats.null_aware_average(t.baskets),
+        stats.null_aware_average(t.visible),
         stats.entropy_base2(counts, t.lottery),
     )
 
@@ -118,7 +118,7 @@ def _(t):
     FROM newest n JOIN members m ON m.draw_number = n.draw_number WHERE r <= 100 GROUP BY 1, 2""",
 )
 def _(t):
-    return extras.frequency_last(t.baskets)
+    return extras.frequency_last(t.visible)
 
 
 @job(
@@ -145,7 +145,7 @@ def _(t):
     FROM numbers GROUP BY 1, 2""",
 )
 def _(t):
-    return extras.member_counts(t.baskets, t.lottery)
+    return extras.member_counts(t.visible, t.lottery)
 
 
 STATE = """seen AS (
@@ -177,7 +177,7 @@ def _member_job(name: str, test: str) -> None:
         f"SELECT lottery_id, draw_number, count(*) FILTER ({test}) AS {name} FROM numbers GROUP BY 1, 2",
     )
     def _(t):
-        return extras.member_counts(t.baskets, t.lottery).select("lottery_id", "draw_number", name)
+        return extras.member_counts(t.visible, t.lottery).select("lottery_id", "draw_number", name)
 
 
 for _name, _test in {
@@ -203,7 +203,7 @@ for _name, _test in {
     FROM m GROUP BY 1, 2""",
 )
 def _(t):
-    return six(extras.draw_shape(t.baskets), "variance", "stddev", "skewness", "kurtosis", "entropy")
+    return six(extras.draw_shape(t.visible), "variance", "stddev", "skewness", "kurtosis", "entropy")
 
 
 @job(
@@ -230,7 +230,7 @@ def _(t):
     SELECT lottery_id, draw_number, step, number - prev AS difference, number - lowest AS distance FROM d WHERE prev IS NOT NULL""",
 )
 def _(t):
-    return extras.number_differences(t.baskets)
+    return extras.number_differences(t.visible)
 
 
 EMA = [0.2 * 0.8**k for k in range(10)]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urnframe.plans.joins import checked_broadcast
+from urnframe.session import checkpoint_frame
 
 # Fixed rules of the derived lotteries.
 MIN_NUMBER, MAX_NUMBER, NUMBERS_TO_SELECT, SUPER_MIN, SUPER_MAX = 1, 45, 4, 1, 16
@@ -85,11 +86,19 @@ class Tables:
         return self.draws.join(self._picked, "draw_number").select(*self.draws.columns, "numbers")
 
     @cached_property
-    def baskets(self) -> DataFrame:
-        """Visible draws with their numbers."""
+    def visible(self) -> DataFrame:
+        """Visible draws with their numbers, for jobs that read them once."""
         kept = self.draws.where(~F.col("is_deleted")).drop("is_deleted")
         return kept.join(self._picked, "draw_number").select(*kept.columns, "numbers")
 
+    @cached_property
+    def baskets(self) -> DataFrame:
+        """``visible`` as a written table, for jobs that pass over it several times.
+
+        The line items are then grouped once, and every pass reads only its own columns.
+        """
+        return checkpoint_frame(self.visible)
+
     @cached_property
     def draw_numbers(self) -> DataFrame:
         """Long form: one row per (draw, position), deleted draws included."""
@@ -100,7 +109,7 @@ class Tables:
     @cached_property
     def numbers(self) -> DataFrame:
         """Long form of the visible draws."""
-        return self.baskets.select(
+        return self.visible.select(
             "lottery_id", "draw_number", F.posexplode("numbers").alias("pos", "number")
         ).select("lottery_id", "draw_number", (F.col("pos") + 1).alias("position"), "number")
 
@@ -108,8 +117,8 @@ class Tables:
     def daily_draws(self) -> DataFrame:
         """Lowest visible draw of each lottery and date."""
         first = F.min_by(F.struct("draw_number", "numbers", "super_number"), "draw_number")
-        return (
-            self.baskets.groupBy("lottery_id", "draw_date")
+        return checkpoint_frame(
+            self.visible.groupBy("lottery_id", "draw_date")
             .agg(first.alias("d"))
             .select(
                 "lottery_id",
