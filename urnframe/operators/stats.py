@@ -86,13 +86,18 @@ def null_aware_average(baskets: DataFrame) -> DataFrame:
 
 def entropy_base2(counts: DataFrame, lottery: DataFrame) -> DataFrame:
     """Entropy in bits over the lottery's numbers; the total includes numbers out of range."""
-    whole = W.partitionBy("lottery_id")
-    share = counts.withColumn("p", F.col("n") / F.sum("n").over(whole))
+    whole = W.partitionBy("lottery_id")  # at most the universe per lottery
+    share = counts.select(
+        "lottery_id", "number", (F.col("n") / F.sum("n").over(whole)).alias("p")
+    )
+    # A lottery without counts still gets its row, with entropy 0.
+    empty = lottery.select("lottery_id", F.lit(None).cast("int").alias("number"), F.lit(0.0).alias("p"))
+    rules = lottery.select("lottery_id", "min_number", "max_number")
     inside = F.col("number").between(F.col("min_number"), F.col("max_number"))
     bits = F.sum(F.when(inside & (F.col("p") > 0), -F.col("p") * F.log2("p")))
     return (
-        lottery.select("lottery_id", "min_number", "max_number")
-        .join(share, "lottery_id", "left")
+        share.unionByName(empty)
+        .join(rules, "lottery_id")
         .groupBy("lottery_id")
         .agg(rounded(F.coalesce(bits, F.lit(0.0))).alias("entropy"))
     )

@@ -37,9 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    path = os.path.join(tempfile.gettempdir(), f"urnframe-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return os.path.join(tempfile.gettempdir(), f"urnframe-{spark.sparkContext.applicationId}")
 
 
 def checkpoint_frame(df: DataFrame) -> DataFrame:
