@@ -7,10 +7,14 @@ from urnframe.llm.line_spread import OP5_SQL, op5_line_spread
 from urnframe.llm.multi_index import op4_multi_index
 from urnframe.llm.pack_curve import op1_curve_packing
 from urnframe.llm.pigeonhole import op6_pigeonhole
+from urnframe.llm.signature_join import op7_signature_join
 from urnframe.llm.toxicity import op8_toxicity_cnn
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_curve_packing, op4_multi_index, op5_line_spread, op6_pigeonhole, op8_toxicity_cnn, op9_language_id)
+    for f in (
+        op1_curve_packing, op4_multi_index, op5_line_spread, op6_pigeonhole, op7_signature_join, op8_toxicity_cnn,
+        op9_language_id,
+    )
 }
 SQL = {"op5_line_spread": OP5_SQL}
