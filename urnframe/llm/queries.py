@@ -6,6 +6,7 @@ from urnframe.llm.fm_index import op10_fm_index
 from urnframe.llm.katz import op3_katz
 from urnframe.llm.langid import op9_language_id
 from urnframe.llm.line_spread import OP5_SQL, op5_line_spread
+from urnframe.llm.merkle_audit import OP2_SQL, op2_merkle_audit
 from urnframe.llm.multi_index import op4_multi_index
 from urnframe.llm.pack_curve import op1_curve_packing
 from urnframe.llm.pigeonhole import op6_pigeonhole
@@ -15,8 +16,8 @@ from urnframe.llm.toxicity import op8_toxicity_cnn
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_curve_packing, op3_katz, op4_multi_index, op5_line_spread, op6_pigeonhole, op7_signature_join, op8_toxicity_cnn,
+        op1_curve_packing, op2_merkle_audit, op3_katz, op4_multi_index, op5_line_spread, op6_pigeonhole, op7_signature_join, op8_toxicity_cnn,
         op9_language_id, op10_fm_index,
     )
 }
-SQL = {"op5_line_spread": OP5_SQL}
+SQL = {"op2_merkle_audit": OP2_SQL, "op5_line_spread": OP5_SQL}
