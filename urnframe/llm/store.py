@@ -35,9 +35,14 @@ def dropped(table: DataFrame) -> None:
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    """A number of parts of about ``bytes_each`` bytes of files, from Spark's own statistics."""
+    """A number of parts of about ``bytes_each`` bytes of files, from Spark's own statistics.
+
+    Where Spark knows no size (rows that come from no file), the session's shuffle partitions.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, -(-size // bytes_each))
+    if size >= 1 << 60:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(max(least, -(-size // bytes_each)), 1 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
