@@ -30,6 +30,7 @@ PERCENT = 80
 CELL = 8 << 20  # bytes of input files whose shingles make one cell
 SPARE = 8  # percent of a set by which its prefix is longer than one shared shingle needs
 CHUNK = 1_000_000  # shingles of a group that are joined at a time
+NEAR = 500_000  # ids that may be broadcast to read their texts; above, the same join is a shuffle
 HUBS = 64  # documents of a larger group that every chunk of it meets
 BITS = 2048  # of a document's signature
 
@@ -337,28 +338,29 @@ def join_sets(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, perce
 
     def candidates(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         need = least_shared(np.maximum(sizes[i], sizes[j]), percent)
+        may = np.flatnonzero((left[i] | left[j]) & (label[i] != label[j]) & (np.minimum(sizes[i], sizes[j]) >= need))
+        out = np.zeros(len(i), bool)
+        i, j, need = i[may], j[may], need[may]
         only_i = np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64)
         only_j = np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64)
-        return (
-            (left[i] | left[j]) & (label[i] != label[j])
-            & (np.minimum(sizes[i] - only_i, sizes[j] - only_j) >= need)
-        )
+        out[may] = np.minimum(sizes[i] - only_i, sizes[j] - only_j) >= need
+        return out
 
     middle = np.full(len(own), len(own) // 2)
     for i in np.flatnonzero(candidates(np.arange(len(own)), middle)):
         test(int(middle[0]), int(i))  # most copies are near to one of middle size
-    for a, b in tree.pairs(tree, percent):
-        i, j = np.meshgrid(
-            np.arange(a * tree.leaf, min((a + 1) * tree.leaf, len(own))),
-            np.arange(b * tree.leaf, min((b + 1) * tree.leaf, len(own))), indexing="ij",
-        )
-        i, j = i.ravel(), j.ravel()
-        far = (label[i] != label[j]) & (i < j if a == b else True)
-        i, j = i[far], j[far]
-        if len(i):
-            ok = candidates(i, j)
-            for x, y in zip(i[ok], j[ok]):
-                test(int(x), int(y))
+    spread = np.arange(tree.leaf)
+    pairs = tree.pairs(tree, percent)
+    for at in range(0, len(pairs), 1024):
+        a, b = pairs[at : at + 1024, :1], pairs[at : at + 1024, 1:]
+        i = np.repeat(a * tree.leaf + spread, tree.leaf, 1).ravel()
+        j = np.tile(b * tree.leaf + spread, (1, tree.leaf)).ravel()
+        ok = np.flatnonzero((i < j) & (j < len(own)))
+        ok = ok[label[i[ok]] != label[j[ok]]]
+        i, j = i[ok], j[ok]
+        ok = candidates(i, j)
+        for x, y in zip(i[ok], j[ok]):
+            test(int(x), int(y))
     return links
 
 
@@ -390,7 +392,10 @@ def _loaded(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
                 keys = pa.array([s.tobytes() for s, ok in zip(sets, own) if ok], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(kept[c] for c in names), keys], [*names[:4], "id", "n", "keys"])
 
-    texts = _plain(docs).join(members, "doc_id")
+    texts = _plain(docs)
+    if members.count() <= NEAR:
+        texts = texts.join(F.broadcast(members.select("doc_id")), "doc_id", "left_semi")
+    texts = texts.join(members, "doc_id")
     return texts.mapInArrow(run, "root bigint, chunk bigint, chunks bigint, hub boolean, id bigint, n bigint, keys binary")
 
 
