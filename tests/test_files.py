@@ -120,3 +120,19 @@ def test_stream_import_twice_adds_nothing(spark, tmp_path, rules_of):
     done = spark.read.option("mergeSchema", True).parquet(target)
     assert sorted(r.draw_number for r in done.select("draw_number").collect()) == [100, 300]
     assert [r.error_code for r in spark.read.parquet(errors).collect()] == ["bad_jackpot"]
+
+
+def test_every_first_line_is_checked(spark, tmp_path):
+    from urnframe.sources import csv
+
+    good = ",".join(csv.HEADER)
+    swapped = ",".join([*csv.HEADER[:-2], csv.HEADER[-1], csv.HEADER[-2]])
+    for i, header in enumerate([good, "\ufeff" + good, good, good, swapped]):
+        (tmp_path / f"f{i}.csv").write_text(header + "\n")
+    with pytest.raises(csv.HeaderError):
+        csv.check_header(spark, str(tmp_path))
+    (tmp_path / "f4.csv").write_text("")
+    with pytest.raises(csv.HeaderError):
+        csv.check_header(spark, str(tmp_path))
+    (tmp_path / "f4.csv").write_text(good + "\n")
+    csv.check_header(spark, str(tmp_path))

@@ -13,9 +13,6 @@ from urnframe.plans.series import running
 
 RUN = ["lottery_id", "engine_type", "snapshot_id", "model_id"]
 
-# Binary weights below this many halvings are zero in a double.
-HALVINGS = 1074
-
 
 def engine_metrics(**engines: DataFrame) -> DataFrame:
     """Union of (lottery_id, snapshot_id, model_id, seq, metric_name, value), one per engine."""
@@ -38,14 +35,14 @@ def merge_duplicate_metrics(metrics: DataFrame, fold: bool = False) -> DataFrame
     """One value per run and metric name: the mean, or with ``fold`` the pairwise running mean.
 
     The pairwise fold (a + b) / 2 in ``seq`` order gives the i-th of n values the weight
-    2**-(n - i + 1), the first 2**-(n - 1). Only the newest values have a weight above zero in
-    a double, so the fold reads those and the first value, never a whole group.
+    2**-(n - i + 1), the first 2**-(n - 1). Every value is weighed; a group is only numbered and
+    summed, never gathered.
     """
     keys = [*RUN, "metric_name"]
     if not fold:
         return metrics.groupBy(*keys).agg(F.avg("value").alias("value"))
     newest = W.partitionBy(*keys).orderBy(F.desc("seq"))
-    recent = metrics.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= HALVINGS)
+    recent = metrics.withColumn("_r", F.row_number().over(newest))
     size = metrics.groupBy(*keys).agg(F.count("*").alias("_n"))
     power = F.when(F.col("_r") == F.col("_n"), F.col("_n") - 1).otherwise(F.col("_r"))
     weighed = recent.join(size, keys).withColumn("_w", F.col("value") * F.pow(F.lit(2.0), -power))

@@ -174,14 +174,14 @@ def last_n_counts(baskets: DataFrame, n: int) -> DataFrame:
     return frequency(recent.select("lottery_id", F.explode("numbers").alias("number")))
 
 
-def rolling_trend(baskets: DataFrame, hot: DataFrame, n: int = 20) -> DataFrame:
-    """Running count of each hot number over the newest ``n`` draws, one column per rank."""
+def rolling_trend(baskets: DataFrame, hot: DataFrame, n: int = 20, k: int = 5) -> DataFrame:
+    """Running count of each hot number over the newest ``n`` draws, one column for each of ``k`` ranks."""
     recent = last_draws(baskets.select("lottery_id", "draw_number", "numbers"), n)
     ordered = W.partitionBy("lottery_id", "rank").orderBy("draw_number")
     hits = F.array_contains(F.col("numbers"), F.col("number")).cast("long")
     grid = recent.join(hot.select("lottery_id", "number", "rank"), "lottery_id")
     counted = grid.withColumn("c", F.sum(hits).over(ordered.rowsBetween(W.unboundedPreceding, 0)))
-    ranks = range(1, 6)
+    ranks = range(1, k + 1)
     return counted.groupBy("lottery_id", "draw_number").agg(
         *[F.max(F.when(F.col("rank") == r, F.col("c"))).alias(f"hot_{r}") for r in ranks]
     )

@@ -41,13 +41,13 @@ MISSING = "sin datos"
 def _accents() -> tuple[str, str]:
     """Accented letter → bare letter, then the combining marks, which have no counterpart."""
     source, target = [], []
-    for code in range(0xC0, 0x2000):
+    for code in (c for c in range(0xC0, 0x110000) if unicodedata.decomposition(chr(c))):
         letter = chr(code)
         parts = [c for c in unicodedata.normalize("NFD", letter) if not unicodedata.combining(c)]
         if len(parts) == 1 and parts[0] != letter:
             source.append(letter)
             target.append(parts[0])
-    marks = [chr(c) for c in range(0x300, 0x2000) if unicodedata.combining(chr(c))]
+    marks = [chr(c) for c in range(0x300, 0x110000) if unicodedata.combining(chr(c))]
     return "".join(source + marks), "".join(target)
 
 

@@ -47,25 +47,28 @@ def header_problems(columns: Sequence[str]) -> list[str]:
 
 
 def check_header(spark: SparkSession, path: str) -> None:
-    """Raise before any row is read when a file's first line breaks the contract."""
+    """Raise before any row is read when the first line of any file breaks the contract.
+
+    Every different first line is looked at, one by one; an empty file breaks it too.
+    """
+    lines = spark.read.text(path)
     first = (
-        spark.read.text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+        lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
         .where("at = 0")
         .select("file", F.struct(F.monotonically_increasing_id().alias("id"), "value").alias("line"))
         .groupBy("file")
         .agg(F.min("line")["value"].alias("header"))
         .groupBy("header")
         .agg(F.count("*").alias("files"))
-        .limit(2)
     )
-    headers = [row["header"] for row in first.collect()]
-    if not headers:
-        raise HeaderError(["empty_file"])
-    for header in headers:
-        problems = header_problems(header.lstrip("﻿").split(","))
+    seen = 0
+    for row in first.toLocalIterator():
+        seen += row["files"]
+        problems = header_problems(row["header"].lstrip("﻿").split(","))
         if problems:
             raise HeaderError(problems)
+    if seen < max(1, len(lines.inputFiles())):  # a file without a line
+        raise HeaderError(["empty_file"])
 
 
 def read_draw_csv(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
