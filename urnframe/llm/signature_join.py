@@ -33,6 +33,7 @@ CHUNK = 1_000_000  # shingles of a group that are joined at a time
 NEAR = 500_000  # ids that may be broadcast to read their texts; above, the same join is a shuffle
 HUBS = 64  # documents of a larger group that every chunk of it meets
 BITS = 2048  # of a document's signature
+NAME = np.dtype([("a", "<u8"), ("b", "<u4"), ("n", "<u4")])  # the key of a set
 
 
 def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
@@ -51,11 +52,11 @@ def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
 
 
 def _set_key(own: np.ndarray) -> bytes:
-    """128 bits that stand for a set: two sums of mixed shingles."""
+    """96 bits that stand for a set, two sums of mixed shingles, and its size."""
     with np.errstate(over="ignore"):
         a = np.add.reduce(mix(own ^ U64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64) if len(own) else U64(0)
         b = np.add.reduce(mix(own + U64(0x5DEECE66D)), dtype=np.uint64) if len(own) else U64(0)
-    return int(a).to_bytes(8, "little") + int(b).to_bytes(8, "little")
+    return int(a).to_bytes(8, "little") + (int(b) >> 32).to_bytes(4, "little") + len(own).to_bytes(4, "little")
 
 
 def least_shared(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -160,59 +161,64 @@ def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per set and cell: prefix shingles that another set has in its prefix, and their counts."""
-    for part in runs_of(batches, "cell"):
-        key, owner = _unpack(part)
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        uses = np.diff(np.r_[at, len(key)])
-        run = np.repeat(np.arange(len(at)), uses)
-        several = np.flatnonzero(np.repeat(uses, uses) > 1)
-        if not len(several):
-            continue
-        # the same set may come from two slices: count different sets of a shingle
-        names, who = np.unique(owner[several].view([("a", "<u8"), ("b", "<u8")]), return_inverse=True)
-        pair = np.unique(np.stack([run[several], who.ravel()], 1), axis=0)
-        _, back, different = np.unique(pair[:, 0], return_inverse=True, return_counts=True)
-        count = different[back]
-        pair, count = pair[count > 1], count[count > 1]
-        if not len(pair):
-            continue
-        order = np.lexsort((pair[:, 0], pair[:, 1]))
-        who, shingle, count = pair[order, 1], key[at[pair[order, 0]]], count[order]
-        cuts = np.flatnonzero(np.r_[True, who[1:] != who[:-1], True])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([names[w].tobytes() for w in who[cuts[:-1]]], pa.binary()), pa.array(np.diff(cuts)),
-             pa.array([shingle[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-             pa.array([count[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
-            ["set_key", "shared", "keys", "counts"],
-        )
+def _shared_counts(buckets: int):
+    """Prefix shingles that several sets have in their prefixes, and how many.
+
+    They are packed: a row per cell and bucket of set keys has a set key, a shingle and a count
+    per place.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs_of(batches, "cell"):
+            key, owner = _unpack(part)
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], owner[order]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            uses = np.diff(np.r_[at, len(key)])
+            run = np.repeat(np.arange(len(at)), uses)
+            several = np.flatnonzero(np.repeat(uses, uses) > 1)
+            if not len(several):
+                continue
+            # the same set may come from two slices: count different sets of a shingle
+            names, who = np.unique(owner[several].view(NAME), return_inverse=True)
+            pair = np.unique(np.stack([run[several], who.ravel()], 1), axis=0)
+            _, back, different = np.unique(pair[:, 0], return_inverse=True, return_counts=True)
+            count = different[back]
+            pair, count = pair[count > 1], count[count > 1].astype(np.uint32)
+            if not len(pair):
+                continue
+            bucket = (names["a"][pair[:, 1]] % U64(buckets)).astype(np.int32)
+            order = np.lexsort((pair[:, 0], pair[:, 1], bucket))
+            name, key, count, bucket = names[pair[order, 1]], key[at[pair[order, 0]]], count[order], bucket[order]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in (name, key, count)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *packed], ["bucket", "names", "keys", "counts"])
+
+    return run
 
 
 def _rarest(percent: int):
     """Of each candidate set, the shared prefix shingles among its rarest; see the module's proof.
 
-    Prefix shingles that no other set has are the rarest, so they use up places.
+    Prefix shingles that no other set has are the rarest, so they use up places: of ``s`` shared
+    ones ``s - needed + 1`` are left. A set with fewer than ``needed`` is similar to no other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, out = [], []
-            for name, n, keys, counts in zip(*(batch[c].to_pylist() for c in ("id", "n", "keys", "counts"))):
-                key = np.frombuffer(b"".join(keys), np.uint64)
-                count = np.frombuffer(b"".join(counts), np.uint32)
-                head = _prefix(n, percent)
-                places = head - int(_needed(np.int64(n), percent)) + 1 - (head - len(key))
-                if places <= 0:
-                    continue
-                own = key[np.lexsort((key, count))[:places]]
-                ids += [name] * len(own)
-                out.append(own.view(np.int64))
+        for part in runs_of(batches, "bucket"):
+            name, key, count = (
+                np.concatenate([np.frombuffer(x, kind) for x in part[c].to_pylist()])
+                for c, kind in (("names", NAME), ("keys", np.uint64), ("counts", np.uint32))
+            )
+            order = np.lexsort((key, count, name["n"], name["b"], name["a"]))
+            name, key = name[order], key[order]
+            cuts = np.flatnonzero(np.r_[True, name[1:] != name[:-1], True])
+            shared = np.diff(cuts)
+            places = shared - _needed(name["n"][cuts[:-1]].astype(np.int64), percent) + 1
+            keep = np.arange(len(key)) - np.repeat(cuts[:-1], shared) < np.repeat(places, shared)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))],
-                ["id", "shingle"],
+                [pa.array([x.tobytes() for x in name[keep]], pa.binary()), pa.array(key[keep].view(np.int64))],
+                ["set_key", "shingle"],
             )
 
     return run
@@ -444,7 +450,7 @@ def _all_links(sets: DataFrame, percent: int) -> DataFrame:
 def similar_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id reachable by links of similar sets.
 
-    Exact but for hash ties: shingles are 64-bit hashes, sets 128-bit. Documents with equal sets
+    Exact but for hash ties: shingles are 64-bit hashes, sets 96-bit ones with their size. Documents with equal sets
     are one class; only classes are compared. A text without words has no set and no link. Rows
     with a null id are linked with nothing; repeated rows are answered each. Other columns are
     ignored.
@@ -455,17 +461,10 @@ def similar_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Da
         info.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).where("doc_id is not null")
     )
     packed = prefix_cells(docs, n, percent, cells).repartition(cells, "cell").sortWithinPartitions("cell")
-    shared = stored(packed.mapInArrow(_shared_counts, "set_key binary, shared bigint, keys binary, counts binary"))
-    needed = f"greatest(1, {SPARE} * (({percent} * n + 99) div 100) div 100)"
-    near = (
-        shared.groupBy("set_key")
-        .agg(F.sum("shared").alias("shared"), F.collect_list("keys").alias("keys"), F.collect_list("counts").alias("counts"))
-        .join(classes, "set_key")
-        .where(f"shared >= {needed}")
-    )
-    rare = stored(
-        near.select(F.col("doc_id").alias("id"), "n", "keys", "counts").mapInArrow(_rarest(percent), "id bigint, shingle bigint")
-    )
+    shared = packed.mapInArrow(_shared_counts(cells), "bucket int, names binary, keys binary, counts binary")
+    dealt = shared.repartition(cells, "bucket").sortWithinPartitions("bucket")
+    rarest = dealt.mapInArrow(_rarest(percent), "set_key binary, shingle bigint")
+    rare = stored(rarest.join(classes, "set_key").select(F.col("doc_id").alias("id"), "shingle"))
     low = rare.groupBy("shingle").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
     groups = components(rare.join(low, "shingle").select(F.col("id").alias("a"), "b"))
     roots = groups.select("root").distinct().select(F.col("root").alias("node"), "root")
