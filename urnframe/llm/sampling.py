@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SHARES = 256  # tasks that rank the ids of one value; the last one reads at most SHARES * each
+
+
 def remainder(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     name = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -22,6 +25,9 @@ def sample_ids(rows: DataFrame, target: str, each: int, classes: int) -> DataFra
     ranked = rows.select("doc_id", target).where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).withColumn(
         "_order", F.xxhash64(F.col("doc_id"), F.lit(7))
     )
-    w = Window.partitionBy(target).orderBy("_order", "doc_id")
-    first = ranked.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each)
+    # a common value is cut within shares of its ids first: what is first of all is first in its share
+    first = ranked.withColumn("_share", F.pmod("_order", F.lit(SHARES)))
+    for parts in ([target, "_share"], [target]):
+        w = Window.partitionBy(*parts).orderBy("_order", "doc_id")
+        first = first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each)
     return first.groupBy("doc_id").agg(F.min(target).alias(target)).orderBy(F.xxhash64("doc_id")).limit(each * classes)
