@@ -264,11 +264,25 @@ def mutual_information(rows: DataFrame, feature: str, label: str = "label") -> D
     return joined.groupBy(*by).agg(F.sum(part).alias("bits"))
 
 
+def lasso_rows(features: DataFrame, nexts: DataFrame, models: DataFrame) -> DataFrame:
+    """The labels of all ``models`` of every draw as two weighted rows, one a class.
+
+    The features of a draw are the same for every number, so the weights stand for the rows.
+    """
+    sizes = models.groupBy("lottery_id").agg(F.count("*").alias("_all"), F.collect_list("number").alias("_known"))
+    hits = F.size(F.array_intersect("next_numbers", "_known"))
+    rows = nexts.join(features, KEY).join(sizes, "lottery_id")
+    classes = F.array(
+        F.struct(F.lit(1.0).alias("label"), hits.cast("double").alias("weight")),
+        F.struct(F.lit(0.0).alias("label"), (F.col("_all") - hits).cast("double").alias("weight")),
+    )
+    return rows.select(*FEATURE_ORDER, F.explode(classes).alias("c")).select(*FEATURE_ORDER, "c.*").where("weight > 0")
+
+
 def lasso_selection(rows: DataFrame, strength: float = 0.01) -> DataFrame:
-    """Weight of every feature in an L1 logistic model of the label; 0 means dropped."""
+    """Weight of every feature in an L1 logistic model of the labels; 0 means dropped."""
     vector = VectorAssembler(inputCols=FEATURE_ORDER, outputCol="features").transform(rows)
-    model = LogisticRegression(elasticNetParam=1.0, regParam=strength, standardization=True).fit(
-        vector.select("features", F.col("label").cast("double").alias("label"))
-    )
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=strength, standardization=True, weightCol="weight")
+    model = lasso.fit(vector.select("features", "label", "weight"))
     pairs = list(zip(FEATURE_ORDER, [float(w) for w in model.coefficients]))
     return rows.sparkSession.createDataFrame(pairs, "feature_id string, weight double")

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from multiprocessing.pool import ThreadPool
-
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urnframe.operators import classifiers
 from urnframe.operators.features import FEATURE_ORDER, number_grid
 from urnframe.plans.joins import with_dimension
 from urnframe.plans.series import framed, running
@@ -24,6 +17,11 @@ from urnframe.session import checkpoint_frame
 KEY = ["lottery_id", "draw_number"]
 MIN_WINDOW, MAX_WINDOW = 2, 20
 
+SCORED = pa.schema(
+    [("lottery_id", pa.int32()), ("draw_number", pa.int64()), ("number", pa.int32())]
+    + [(c, pa.float64()) for c in ("label", "score", "prediction")]
+)
+
 # Fixed set of the numbers whose next appearance a sequence model predicts.
 SEQUENCE_TARGETS = list(range(1, 11))
 
@@ -171,101 +169,110 @@ def split_windows(windows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 # --- classifiers -----------------------------------------------------------
 
-FAMILIES: dict[str, Callable[[], object]] = {
-    "random_forest": lambda: RandomForestClassifier(numTrees=100, seed=0),
-    "extra_trees": lambda: RandomForestClassifier(
-        numTrees=100, seed=0, bootstrap=False, featureSubsetStrategy="sqrt"
-    ),
-    "gradient_boosting": lambda: GBTClassifier(seed=0),
-    "svm": lambda: LinearSVC(),
-}
+FAMILIES = ["random_forest", "extra_trees", "gradient_boosting", "svm"]
+FIT_ROWS = 10_000  # labelled training rows a lottery that its models are fitted on, about
+BLOCK_ROWS = 16_384  # evaluation rows of a lottery that one task scores, about
 
 
-def training_rows(features: DataFrame, targets: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Feature vector, label and segment per (draw, target number)."""
-    rows = targets.join(features, KEY).select(
-        *KEY, "number", F.col("label").cast("double").alias("label"), *FEATURE_ORDER
-    )
-    vector = VectorAssembler(inputCols=FEATURE_ORDER, outputCol="features")
-    split = walk_forward_split(rows, cuts)
-    return vector.transform(split).select(*KEY, "number", "label", "segment", "features")
+def targets_of(baskets: DataFrame) -> DataFrame:
+    """Every (lottery, number) that ever occurs: one model each."""
+    seen = baskets.select("lottery_id", F.explode("numbers").alias("number"))
+    return seen.groupBy("lottery_id", "number").agg(F.lit(1).alias("_one")).drop("_one")
+
+
+def sequence_models(baskets: DataFrame) -> DataFrame:
+    """The fixed target numbers of every lottery."""
+    lotteries = baskets.groupBy("lottery_id").agg(F.lit(1).alias("_one"))
+    numbers = F.explode(F.array(*[F.lit(n) for n in SEQUENCE_TARGETS]))
+    return lotteries.select("lottery_id", numbers.alias("number"))
+
+
+def next_numbers(baskets: DataFrame) -> DataFrame:
+    """The numbers of the draw after each draw; the last draw has none."""
+    rows = with_next(baskets.select(*KEY, "numbers")).where(F.col("next_numbers").isNotNull())
+    return rows.select(*KEY, "next_numbers")
+
+
+def training_rows(features: DataFrame, nexts: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Feature vector, next numbers and segment of every labelled draw."""
+    vector = F.array(*[F.col(c).cast("double") for c in FEATURE_ORDER])
+    rows = nexts.join(features, KEY).select(*KEY, "next_numbers", vector.alias("features"))
+    return walk_forward_split(rows, cuts).select(*KEY, "segment", "next_numbers", "features")
 
 
-def fit_each(
-    rows: DataFrame, models: DataFrame, estimator: Callable[[], object], threads: int = 4
-) -> DataFrame:
-    """Fit one classifier per (lottery, number) of ``models``; scored evaluation rows.
+def sequence_rows(windows: DataFrame, nexts: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Flattened window vector, next numbers and segment of every labelled window."""
+    split = split_windows(windows, cuts).join(nexts, KEY)
+    return split.select(*KEY, "segment", "next_numbers", F.flatten("window").alias("features"))
 
-    The fits are Spark jobs submitted side by side over one shared training table. A target
-    without both classes in training predicts its only class.
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    column = table["features"].combine_chunks()
+    return np.asarray(column.flatten(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def fit_models(rows: DataFrame, models: DataFrame, family: str, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """One fitted model per (lottery, number) of ``models``.
+
+    All models of a lottery are fitted on the same training draws: all of them, or about
+    ``fit_rows`` with the lowest hashes where a lottery has more.
     """
-    rows = checkpoint_frame(rows)
-    wanted = [(r[0], r[1]) for r in models.select("lottery_id", "number").collect()]
-    classes = {
-        (r["lottery_id"], r["number"]): (r["lo"], r["hi"])
-        for r in rows.where("segment = 'train'")
-        .join(models.select("lottery_id", "number"), ["lottery_id", "number"], "left_semi")
-        .groupBy("lottery_id", "number")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        .collect()
-    }
-
-    def one(target):
-        lottery_id, number = target
-        mine = rows.where((F.col("lottery_id") == lottery_id) & (F.col("number") == number))
-        held_out = mine.where("segment = 'eval'")
-        lo, hi = classes.get(target, (0.0, 0.0))
-        if lo == hi:
-            scored = held_out.withColumn("score", F.lit(lo)).withColumn("prediction", F.lit(lo))
-        else:
-            model = estimator().fit(mine.where("segment = 'train'"))
-            scored = model.transform(held_out)
-            column = "probability" if "probability" in scored.columns else "rawPrediction"
-            scored = scored.withColumn("score", vector_to_array(column)[1])
-        return scored.select(*KEY, "number", "label", "score", "prediction")
-
-    with ThreadPool(threads) as pool:
-        parts = pool.map(one, wanted)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def train_family(family: str, rows: DataFrame, models: DataFrame, threads: int = 4) -> DataFrame:
-    return fit_each(rows, models, FAMILIES[family], threads)
-
-
-def sequence_rows(windows: DataFrame, targets: DataFrame, models: DataFrame, cuts: DataFrame):
-    """Flattened window vectors labelled for every target number of ``models``."""
-    from pyspark.ml.functions import array_to_vector
-
-    split = split_windows(windows, cuts).join(targets, KEY)
-    labelled = split.join(models.select("lottery_id", "number"), "lottery_id")
-    return labelled.select(
-        *KEY,
-        "number",
-        F.element_at("y", F.col("number")).cast("double").alias("label"),
-        "segment",
-        array_to_vector(F.flatten("window")).alias("features"),
+    train = rows.where("segment = 'train'")
+    size = train.groupBy("lottery_id").agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64(*KEY), F.lit(1 << 32)) * F.col("_n") < F.lit(fit_rows << 32)
+    sample = with_dimension(train, size, "lottery_id").where((F.col("_n") <= fit_rows) | share)
+    label = F.array_contains("next_numbers", F.col("number"))
+    # A left join: a target whose lottery has no training draw gets its constant model, too.
+    labelled = models.select("lottery_id", "number").join(sample, "lottery_id", "left")
+
+    def fitted(key, table):
+        known = table.filter(pc.is_valid(table["label"])).sort_by("draw_number")
+        y = np.asarray(known["label"]).astype(float)
+        model = classifiers.fit(family, _matrix(known), y)
+        lottery_id, number = (k.as_py() for k in key)
+        columns = [pa.array([lottery_id], pa.int32()), pa.array([number], pa.int32()), pa.array([model], pa.binary())]
+        return pa.Table.from_arrays(columns, ["lottery_id", "number", "model"])
+
+    wide = labelled.select(*[F.col(c).cast("int").alias(c) for c in ("lottery_id", "number")], "draw_number", label.alias("label"), "features")
+    return wide.groupBy("lottery_id", "number").applyInArrow(fitted, "lottery_id int, number int, model binary")
+
+
+def score_rows(rows: DataFrame, fitted: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """Every evaluation row scored by every model of its lottery.
+
+    Evaluation rows are dealt into blocks; a block meets the models of its lottery in one task.
+    """
+    held_out = rows.where("segment = 'eval'").withColumn("lottery_id", F.col("lottery_id").cast("int"))
+    size = held_out.groupBy("lottery_id").agg(F.ceil(F.count("*") / block).cast("long").alias("_blocks"))
+    dealt = with_dimension(held_out, size, "lottery_id").select(
+        *KEY, "next_numbers", "features", F.pmod(F.xxhash64("draw_number"), "_blocks").alias("block")
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    copies = fitted.join(size, "lottery_id").select("lottery_id", "number", "model", every.alias("block"))
+
+    def scored(key, draws, models):
+        x, n = _matrix(draws), len(draws)
+        nexts = draws["next_numbers"].combine_chunks()
+        of, flat = np.asarray(pc.list_parent_indices(nexts)), np.asarray(pc.list_flatten(nexts))
+        parts = []
+        for number, model in zip(models["number"].to_pylist(), models["model"].to_pylist()) if n else []:
+            label = np.zeros(n)
+            label[of[flat == number]] = 1.0
+            score, prediction = classifiers.score(model, x)
+            columns = [np.full(n, number, np.int32), label, score, prediction]
+            parts.append(pa.Table.from_arrays(
+                [draws["lottery_id"], draws["draw_number"], *map(pa.array, columns)], list(SCORED.names)
+            ))
+        return pa.concat_tables(parts) if parts else SCORED.empty_table()
+
+    keys = ["lottery_id", "block"]
+    return dealt.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(
+        scored, "lottery_id int, draw_number bigint, number int, label double, score double, prediction double"
     )
 
 
-def train_mlp(rows: DataFrame, models: DataFrame, width: int, threads: int = 4) -> DataFrame:
-    """Two hidden layers on standardised windows, one network per number."""
-    from pyspark.ml import Pipeline
-
-    layers = [width * len(FEATURE_ORDER), 64, 32, 2]
-    return fit_each(
-        rows,
-        models,
-        lambda: Pipeline(
-            stages=[
-                StandardScaler(inputCol="features", outputCol="scaled", withMean=True),
-                MultilayerPerceptronClassifier(
-                    featuresCol="scaled", layers=layers, maxIter=50, seed=0
-                ),
-            ]
-        ),
-        threads,
-    )
+def train_family(family: str, rows: DataFrame, models: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Scored evaluation rows of one classifier per (lottery, number) of ``models``."""
+    rows = checkpoint_frame(rows)
+    fitted = checkpoint_frame(fit_models(rows, models, family, fit_rows))
+    return checkpoint_frame(score_rows(rows, fitted))

@@ -9,7 +9,6 @@ from urnframe.operators import extras, features, probability, stats, text, train
 from urnframe.plans.catalog.features import BASKET, FEATURES
 from urnframe.plans.catalog.probability import EMPIRICAL
 from urnframe.plans.catalog.statistics import AVERAGES, ENTROPY, GAPS
-from urnframe.plans.catalog.training import targets_of
 from urnframe.plans.registry import job
 from urnframe.session import checkpoint_frame
 
@@ -337,7 +336,6 @@ def _(t):
 
 @job("lasso_selection")
 def _(t):
-    wanted = checkpoint_frame(targets_of(t))
-    labels = training.next_draw_targets(t.baskets).join(wanted, ["lottery_id", "number"], "left_semi")
-    rows = labels.join(features.feature_frame(t.baskets, t.lottery), ["lottery_id", "draw_number"])
-    return six(extras.lasso_selection(rows), "weight")
+    nexts = training.next_numbers(t.baskets)
+    rows = extras.lasso_rows(features.feature_frame(t.baskets, t.lottery), nexts, training.targets_of(t.baskets))
+    return six(extras.lasso_selection(checkpoint_frame(rows)), "weight")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from urnframe.functions.columns import rounded
-from urnframe.operators import features, lookup, metrics, neighbors, stats, training
+from urnframe.operators import features, lookup, metrics, neighbors, training
 from urnframe.plans.catalog.features import FEATURES, GRID
 from urnframe.plans.registry import job
 from urnframe.session import checkpoint_frame
@@ -323,19 +323,6 @@ def _(t):
     return neighbors.knn_votes(knn(t), training.next_draw_targets(t.baskets))
 
 
-def targets_of(t):
-    """The most frequent number of every lottery: one model each."""
-    hot = stats.hottest_coldest(stats.frequency(t.numbers))
-    return hot.select("lottery_id", F.col("hottest").alias("number"))
-
-
-def model_rows(t):
-    wanted = checkpoint_frame(targets_of(t))
-    labels = training.next_draw_targets(t.baskets).join(wanted, ["lottery_id", "number"], "left_semi")
-    rows = training.training_rows(frame(t), labels, training.default_cut(t.baskets))
-    return rows, wanted
-
-
 def model_metrics(scored):
     by = ["lottery_id", "number"]
     return metrics.classification_metrics(scored, by).join(metrics.roc_auc(scored, by), by)
@@ -344,8 +331,9 @@ def model_metrics(scored):
 def _family_job(family: str) -> None:
     @job(f"train_{family}")
     def _(t):
-        rows, wanted = model_rows(t)
-        return model_metrics(training.train_family(family, rows, wanted))
+        cuts = training.default_cut(t.baskets)
+        rows = training.training_rows(frame(t), training.next_numbers(t.baskets), cuts)
+        return model_metrics(training.train_family(family, rows, training.targets_of(t.baskets)))
 
 
 for _family in training.FAMILIES:
@@ -354,15 +342,7 @@ for _family in training.FAMILIES:
 
 @job("train_mlp")
 def _(t):
-    hot = t.numbers.where(F.col("number").isin(training.SEQUENCE_TARGETS))
-    wanted = checkpoint_frame(
-        stats.hottest_coldest(stats.frequency(hot)).select(
-            "lottery_id", F.col("hottest").alias("number")
-        )
-    )
     windows = training.sequence_windows(frame(t), ordinals(t), WIDTH)
-    rows = training.sequence_rows(
-        windows, training.sequence_targets(t.baskets), wanted, training.default_cut(t.baskets)
-    )
-    scored = training.train_mlp(rows, wanted, WIDTH)
-    return model_metrics(scored)
+    cuts = training.default_cut(t.baskets)
+    rows = training.sequence_rows(windows, training.next_numbers(t.baskets), cuts)
+    return model_metrics(training.train_family("mlp", rows, training.sequence_models(t.baskets)))
