@@ -101,6 +101,39 @@ def test_checksum_of_bytes(spark, tmp_path):
     assert len(large) == 1 and large[0].checksum != digest
 
 
+def test_checksum_has_one_definition_for_all_sizes(spark, tmp_path):
+    import hashlib
+
+    lines = [b"%d,\xff caf\xc3\xa9 %s" % (i, b"x" * (i % 37)) for i in range(400)]
+    swapped = [*lines[:10], lines[11], lines[10], *lines[12:]]
+    bodies = {
+        "plain": b"\n".join(lines) + b"\n",
+        "swapped": b"\n".join(swapped) + b"\n",
+        "open": b"\r\n".join(lines),
+        "mark": b"\xef\xbb\xbf" + b"\n".join(lines),
+        "gaps": b"\n\n" + b"\n\n".join(lines) + b"\n\n",
+    }
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.csv").write_bytes(body)
+
+    def want(body, size):
+        leaves = [hashlib.sha256(body[i : i + size]).digest() for i in range(0, len(body), size)]
+        return leaves[0].hex() if len(leaves) == 1 else hashlib.sha256(b"".join(leaves)).hexdigest()
+
+    for split in ("700", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            for size in (1000, 1 << 30):
+                got = {r[0].split("/")[-1][:-4]: r[1] for r in csv.file_checksum(spark, str(tmp_path), size).collect()}
+                assert got == {n: want(b, size) for n, b in bodies.items()}
+            files = spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("path AS source_file", "length")
+            got = {r[0].split("/")[-1][:-4]: r[1] for r in csv.range_checksum(spark, str(tmp_path), files, 1 << 30).collect()}
+            assert got == {n: hashlib.sha256(b).hexdigest() for n, b in bodies.items()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(set(got.values())) == len(bodies)
+
+
 def test_snapshot_is_immutable(spark, tmp_path):
     df = spark.range(5)
     sinks.write_snapshot(df, str(tmp_path), "s", 1, ["id"])
