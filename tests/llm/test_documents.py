@@ -208,6 +208,16 @@ def test_pigeonhole_finds_what_is_within_the_budget(spark):
     assert pigeonhole.contaminations(docs, bench.limit(0)).count() == 0
 
 
+def test_pigeonhole_finds_short_items_as_whole_words(spark):
+    items = [(1, "Paris?"), (2, "cat"), (3, "what is a catalogue of it"), (4, " "), (5, "x")]
+    rows = [(1, "In PARIS? no"), (2, "a catalogue; concat, Cat."), (3, "scatter paris"), (4, "so what is a catalgue of it"), (5, "")]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {tuple(r) for r in pigeonhole.contaminations(docs, bench).collect()}
+    assert got == {(1, 1, 0, 3, 9), (2, 2, 0, 21, 24), (4, 3, 1, 3, 27)}
+    kept = {r.doc_id for r in pigeonhole.without_contamination(docs, bench).collect()}
+    assert kept == {3, 5}
+
+
 def _components(rows, n=5):
     sets = []
     for _, text, *_ in rows:

@@ -18,7 +18,8 @@ from urnframe.llm.store import table
 from urnframe.llm.text import slices
 
 ERRORS = 0.05  # edits a character of the item
-LEAST = 30  # items of fewer characters, after folding, are not searched
+LEAST = 1  # items of fewer characters, after folding, are not searched: only empty ones
+WHOLE_WORDS = 20  # items of fewer characters, without an error budget, count between word edges only
 BLOCK = 8_000_000  # characters of items that one automaton holds
 
 HITS = "doc_id bigint, item_id bigint, distance int, start bigint, end bigint"
@@ -70,6 +71,12 @@ def masks_of(pattern: str) -> dict[str, int]:
     return dict(out)
 
 
+def between_edges(text: str, start: int, end: int) -> bool:
+    """No word of ``text`` goes on across the start or the end of the passage."""
+    inside = lambda at: 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+    return not inside(start) and not inside(end)
+
+
 class Finder:
     """The automaton over the pieces of some items, and the check of its hits."""
 
@@ -92,17 +99,22 @@ class Finder:
         if not len(self.trie):
             return []
         spans: dict[int, list[list[int]]] = defaultdict(list)
+        whole: dict[int, int] = {}
         for last, (length, uses) in self.trie.iter(text):
             for n, at in uses:
                 size = len(self.items[n][1])
                 k = int(self.errors * size)
+                if not k and size < WHOLE_WORDS:
+                    if n not in whole and between_edges(text, last - length + 1, last + 1):
+                        whole[n] = last - length + 1
+                    continue
                 a, b = last - length + 1 - at - k, last - length + 1 - at + size + k
                 mine = spans[n]
                 if mine and a <= mine[-1][1] and a >= mine[-1][0]:
                     mine[-1][1] = max(mine[-1][1], b)
                 else:
                     mine.append([a, b])
-        found = []
+        found = [(self.items[n][0], 0, at, at + len(self.items[n][1])) for n, at in sorted(whole.items())]
         for n, windows in sorted(spans.items()):
             item_id, item = self.items[n]
             k, best = int(self.errors * len(item)), None
@@ -125,7 +137,8 @@ def contaminations(docs: DataFrame, items: DataFrame, errors: float = ERRORS, bl
 
     Items are matched in blocks of about ``block`` characters; each block is one pass over the
     documents, so what a task holds is bounded while the items may grow. Items with a null id or
-    text, or shorter than ``LEAST`` when folded, are not searched; a null text holds nothing.
+    text, or empty when folded, are not searched; a null text holds nothing. An item shorter than
+    ``WHOLE_WORDS`` without an error budget is found as it is, where no word goes on across its ends.
     Repeated items are matched once, repeated documents once each.
     """
     spark = docs.sparkSession
