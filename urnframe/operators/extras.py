@@ -235,6 +235,28 @@ def frequent_itemsets(baskets: DataFrame, support: float, confidence: float = 0.
     return model.freqItemsets, model.associationRules
 
 
+def lottery_itemsets(baskets: DataFrame, support: float, confidence: float = 0.1):
+    """Frequent sets (items, freq) and rules, the support a share of each lottery's own draws.
+
+    One FP-growth run mines at the least count that any lottery asks for; sets and rules below
+    their own lottery's count are dropped. The lift, too, is relative to the lottery's own draws.
+    """
+    own = baskets.groupBy(F.col("lottery_id").cast("string").alias("_l")).agg(F.count("*").alias("_n"))
+    least = F.ceil(F.lit(support) * F.col("_n"))
+    scope = checkpoint_frame(own.select("_l", "_n", least.alias("_least")))
+    low, total = scope.agg(F.min("_least"), F.sum("_n")).first()
+    # Half a count less: the share of all draws is a float, and sets at the limit must stay.
+    sets, rules = frequent_itemsets(baskets, max(low - 0.5, 0.0) / total if total else support, confidence)
+    lottery = lambda items: F.split(F.col(items)[0], ":")[0]
+    kept = sets.join(scope, lottery("items") == F.col("_l")).where("freq >= _least").select(sets.columns)
+    strong = rules.join(scope, lottery("antecedent") == F.col("_l")).where(
+        F.round(F.col("support") * total) >= F.col("_least")
+    )
+    lift = F.col("lift") * F.col("_n") / total
+    own_support = F.col("support") * total / F.col("_n")
+    return kept, strong.select("antecedent", "consequent", "confidence", lift.alias("lift"), own_support.alias("support"))
+
+
 def kmeans_draws(features: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:
     """Cluster of every draw on standardised features."""
     vector = VectorAssembler(inputCols=FEATURE_ORDER, outputCol="_raw").transform(features)

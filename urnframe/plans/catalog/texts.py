@@ -291,7 +291,7 @@ def _(t):
 
 @job("association_rules")
 def _(t):
-    _found, rules = extras.frequent_itemsets(t.baskets, SUPPORT)
+    _found, rules = extras.lottery_itemsets(t.baskets, SUPPORT)
     return rules.select(
         F.array_join(F.sort_array("antecedent"), " ").alias("antecedent"),
         F.array_join("consequent", " ").alias("consequent"),
