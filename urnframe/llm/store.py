@@ -47,3 +47,20 @@ def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns renamed to ``c0``, ``c1`` and so on, and the new name of each old one.
+
+    Work on the renamed table may add columns of any other name: no user's column has them.
+    """
+    new = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), dict(zip(df.columns, new))
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column of ``taken`` has it (case aside)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
