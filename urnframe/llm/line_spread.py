@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urnframe.llm.store import stored, table
+from urnframe.llm.store import numbered, stored, table
 
 SITES = 10
 BLANK = " \t\r"
@@ -39,12 +39,13 @@ def line_spread(docs: DataFrame, sites: int = SITES, margin: float = MARGIN) ->
     A null source is a site of its own. ``n_sites`` is the exact count where ``exact``, otherwise
     the estimate of the sketch, which lies beyond the margin. Blank lines are never counted.
     """
-    lines = stored(_numbered(docs).distinct())
+    lines = _numbered(docs)
+    # a sketch per line and task, then their union; a line that occurs on fewer rows needs no sketch read
     sketches = lines.groupBy("line_hash").agg(
-        F.count(F.lit(1)).alias("_n"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")
+        F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")
     )
     estimate = F.hll_sketch_estimate("sketch")
-    sized = sketches.select("line_hash", estimate.alias("estimate"))
+    sized = sketches.where(F.col("n") >= sites).select("line_hash", estimate.alias("estimate"))
     high = stored(sized.where(F.col("estimate") >= sites * (1 - margin)))
     sure = high.where(F.col("estimate") > sites * (1 + margin))
     near = high.where(F.col("estimate") <= sites * (1 + margin))
@@ -66,14 +67,15 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, margin: float = MAR
     text is a copy of a whole document, not boilerplate, and stays as it is: whole copies are for
     the near-duplicate operators. A null text stays null.
     """
-    return _cleaned(docs, sites, margin).drop("n_lines", "n_removed")
+    return _cleaned(docs, sites, margin, [])
 
 
-def _cleaned(docs: DataFrame, sites: int, margin: float) -> DataFrame:
+def _cleaned(docs: DataFrame, sites: int, margin: float, extra: list[str]) -> DataFrame:
+    """All columns of ``docs`` with clean texts, then the named columns of ``n_lines`` and ``n_removed``."""
     spread = stored(line_spread(docs, sites, margin).select("line_hash"))
-    names = docs.columns
+    rows, new = numbered(docs)
     body = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n")
-    keyed = docs.withColumn("_text", F.col("text").cast("string"))
+    keyed = rows.withColumn("_text", F.col(new["text"]).cast("string"))
     # what a text loses follows from the text: its 96-bit hash is the key, and copies share a row
     keyed = keyed.withColumn("_k", F.xxhash64("_text")).withColumn("_m", F.hash("_text"))
     hits = (
@@ -91,22 +93,22 @@ def _cleaned(docs: DataFrame, sites: int, margin: float) -> DataFrame:
     joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
     change = F.col("_gone").isNotNull() & (full(F.col("_kept")) > 0)
     out = joined.withColumn("_new", F.when(change, F.array_join("_kept", "\n")).otherwise(F.col("_text")))
-    columns = [
-        F.col("_new").alias(c)
-        if c == "text"
-        else F.when(change, F.length("_new").cast("bigint")).otherwise(F.col(c)).alias(c)
-        if c == "n_chars"
-        else F.col(c)
-        for c in names
-    ]
-    n_lines = full(body).cast("bigint").alias("n_lines")
-    removed = F.when(change, F.size("_gone")).otherwise(F.lit(0)).cast("bigint").alias("n_removed")
-    return out.select(*columns, n_lines, removed)
+    values = {
+        "text": F.col("_new"),
+        "n_chars": F.when(change, F.length("_new").cast("bigint")).otherwise(F.col(new.get("n_chars", "_k"))),
+    }
+    counts = {
+        "n_lines": full(body).cast("bigint"),
+        "n_removed": F.when(change, F.size("_gone")).otherwise(F.lit(0)).cast("bigint"),
+    }
+    columns = [values.get(c, F.col(k)).alias(c) for c, k in new.items()]
+    return out.select(*columns, *(counts[c].alias(c) for c in extra))
 
 
 def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return _cleaned(docs, SITES, MARGIN).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+    cleaned = _cleaned(docs, SITES, MARGIN, ["n_lines", "n_removed"])
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
 OP5_SQL = f"""
