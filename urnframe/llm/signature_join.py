@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urnframe.llm.store import parts_for, stored, table
+from urnframe.llm.store import numbered, parts_for, stored, table
 from urnframe.llm.text import U64, Words, mix, shingles, slices
 
 N = 5
@@ -455,6 +455,11 @@ def similar_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Da
     with a null id are linked with nothing; repeated rows are answered each. Other columns are
     ignored.
     """
+    return _classed(docs, n, percent).drop("set_key")
+
+
+def _classed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``similar_documents`` with ``set_key``, equal for equal sets (null without a set)."""
     cells = parts_for(docs, CELL)
     info = stored(set_rows(docs, n))
     classes = stored(
@@ -484,19 +489,59 @@ def similar_documents(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Da
     return info.join(named, "set_key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("set_key")).alias("set_key"),
     )
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """Of each group of similar documents the row with the least doc_id; other rows stay.
 
-    A repeated row (same id and set as one kept) is itself a copy, so one of them stays. Rows
-    without words, or with a null id, stay.
+    A row is known by its doc_id and its set: an id with a copy and a clean text loses the copy alone.
+    Of rows with the least id of their group one stays for each set, with the least text: a repeated
+    row stays once. Two texts are linked, too, by an id that is the least of both. Rows without
+    words, or with a null id, all stay.
+    Columns may have any name.
     """
-    found = similar_documents(docs, n, percent)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
-    return rest
+    rows, new = numbered(docs)
+    own_id = F.col(new["doc_id"]).cast("bigint") == F.col("doc_id")
+    every = stored(_classed(docs, n, percent).where("doc_id is not null"))
+    found = every.where("set_key is not null")
+    seen = found.groupBy("doc_id", "set_key", (F.col("component_id") == F.col("doc_id")).alias("stays")).count()
+    sized = stored(seen.where("not stays or count > 1"))
+    several = every.groupBy("doc_id").count().where("count > 1")  # ids of more than one row
+    mixed = stored(sized.join(several.select("doc_id"), "doc_id", "left_semi"))
+    sure = sized.join(several.select("doc_id"), "doc_id", "left_anti").select("doc_id")
+    rest = rows.join(sure, own_id, "left_anti")
+    if mixed.isEmpty():
+        return rest.toDF(*docs.columns)
+    # rows of repeated ids are read again for their sets
+    ids = mixed.select("doc_id").distinct()
+    keyed = _with_set_key(rest.join(ids, own_id, "left_semi"), new, n)
+    single = keyed.join(mixed.where("not stays").select("doc_id", "set_key"), ["doc_id", "set_key"], "left_anti")
+    twice = mixed.where("stays").select("doc_id", "set_key")
+    row = F.struct(*new.values())
+    again = single.join(twice, ["doc_id", "set_key"], "left_semi").groupBy("doc_id", "set_key").agg(
+        F.min_by(row, F.struct(F.col(new["text"]).cast("string"), F.to_json(row))).alias("row")
+    )
+    single = single.join(twice, ["doc_id", "set_key"], "left_anti").select(*new.values())
+    out = rest.join(ids, own_id, "left_anti").unionByName(single).unionByName(again.select("row.*"))
+    return out.toDF(*docs.columns)
+
+
+def _with_set_key(rows: DataFrame, new: dict[str, str], n: int) -> DataFrame:
+    """``rows`` with ``doc_id`` as a long and ``set_key``; one row a set is made of (empty: null key)."""
+    names = list(new.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(Words(part["text"]), n)
+                keys = pa.array([_set_key(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in [*names, "doc_id"]), keys], [*names, "doc_id", "set_key"])
+
+    doc_id, text = F.col(new["doc_id"]).cast("bigint").alias("doc_id"), F.col(new["text"]).cast("string").alias("text")
+    plain = rows.select(*names, doc_id, text)
+    return plain.mapInArrow(run, plain.select(*names, "doc_id").schema.add("set_key", "binary"))
 
 
 def op7_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
