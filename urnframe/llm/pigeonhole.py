@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urnframe.llm.store import table
+from urnframe.llm.store import numbered, table
 from urnframe.llm.text import slices
 
 ERRORS = 0.05  # edits a character of the item
@@ -177,9 +177,14 @@ def contaminations(docs: DataFrame, items: DataFrame, errors: float = ERRORS, bl
 
 
 def without_contamination(docs: DataFrame, items: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """The rows of ``docs`` that hold no item. Rows with a null id are judged by all such rows."""
-    hits = contaminations(docs, items, errors).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_hit")), "left_anti")
+    """The rows of ``docs`` that hold no item. Rows with a null id are judged by all such rows.
+
+    Columns may have any name.
+    """
+    hits = contaminations(docs, items, errors).select("doc_id").distinct()
+    rows, new = numbered(docs)
+    clean = rows.join(hits, F.col(new["doc_id"]).cast("bigint").eqNullSafe(F.col("doc_id")), "left_anti")
+    return clean.toDF(*docs.columns)
 
 
 def op6_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
