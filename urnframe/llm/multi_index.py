@@ -124,10 +124,14 @@ def search(
     smallest ids: further ones cannot be among the answers, so no group of copies grows a cell.
     A cell above ``block`` entries is ranked in parts whose best answers are merged. ``budget`` is
     the share of all entries that a query visits before it stops, at least ``k + 1`` different
-    vectors. An empty table, or vectors of no use, give no rows. Vectors must be of one length.
+    vectors. An empty table, or vectors of no use, give no rows. Vectors of another length
+    than the most common one (ties: the longest) take no part.
     """
     spark = vectors.sparkSession
     entries = clean(vectors)
+    # one number per vector length
+    lengths = entries.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).select("d").first()
+    entries = entries.where(F.size("v") == (lengths[0] if lengths else 0))
     ranked = entries.select("v", "vec_id").distinct()
     from pyspark.sql import Window
 
@@ -150,7 +154,7 @@ def search(
     goal = max(k + 1, int(np.ceil(budget * sizes.sum())))
     parts = np.maximum(1, -(-sizes // block))
     pieces = F.element_at(F.lit(parts.tolist()).cast("array<bigint>"), (F.col("cell") + 1).cast("int"))
-    asked = clean(queries).select("vec_id", "v").distinct()
+    asked = clean(queries).where(F.size("v") == lengths[0]).select("vec_id", "v").distinct()
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = books[0].shape[1]
