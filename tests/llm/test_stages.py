@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from urnframe.llm import line_spread, multi_index, pigeonhole, signature_join, toxicity
+from urnframe.llm import calibration, line_spread, multi_index, pigeonhole, signature_join, toxicity
 
 
 def test_calibration_of_overlapping_and_separated_labels():
@@ -14,14 +14,14 @@ def test_calibration_of_overlapping_and_separated_labels():
     y = (rng.random(600) < 0.15).astype(int)
     for gap in (0.0, 1.0, 4.0, 200.0):
         z = rng.normal(size=600) * 3 + gap * y - 50
-        a, b = toxicity._platt(z, y)
+        a, b = calibration.platt(z, y)
         p = 1 / (1 + np.exp(-(a * z + b)))
         assert 0 < a < 10 and (np.argsort(p, kind="stable") == np.argsort(z, kind="stable")).all()
         assert p.mean() == pytest.approx(y.mean(), abs=0.02)
         assert 1e-4 < p.min() and p.max() < 1 - 1e-4
-    a, b = toxicity._platt(-3.0 * y + rng.normal(size=600), y)  # worthless logits
+    a, b = calibration.platt(-3.0 * y + rng.normal(size=600), y)  # worthless logits
     assert a > 0 and 1 / (1 + np.exp(-b)) < 0.5
-    assert np.isfinite(toxicity._platt(np.zeros(5), np.array([0, 1, 0, 0, 0]))).all()
+    assert np.isfinite(calibration.platt(np.zeros(5), np.array([0, 1, 0, 0, 0]))).all()
 
 
 def test_threshold_parts_no_ties_and_spares_clean_rows():

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-SHARES = 256  # tasks that rank the ids of one value; the last one reads at most SHARES * each
-
-
 def remainder(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     name = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -18,16 +15,19 @@ def remainder(doc_id: Column | str, n: int) -> Column:
 def sample_ids(rows: DataFrame, target: str, each: int, classes: int) -> DataFrame:
     """At most ``each`` ids of every value of ``target``, the first by a hash of the id.
 
-    ``classes`` bounds the number of values. The ids are distinct.
+    ``classes`` bounds the number of values; the most common ones are sampled (ties: the least).
+    The ids are distinct.
     """
     from pyspark.sql import Window
 
-    ranked = rows.select("doc_id", target).where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).withColumn(
+    known = rows.select("doc_id", target).where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).withColumn(
         "_order", F.xxhash64(F.col("doc_id"), F.lit(7))
     )
-    # a common value is cut within shares of its ids first: what is first of all is first in its share
-    first = ranked.withColumn("_share", F.pmod("_order", F.lit(SHARES)))
-    for parts in ([target, "_share"], [target]):
-        w = Window.partitionBy(*parts).orderBy("_order", "doc_id")
-        first = first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each)
+    counts = known.groupBy(target).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), target).limit(classes)
+    # the first ``each`` of n even hashes lie below this share of their range: eight standard deviations to spare
+    share = F.least(F.lit(1.0), (each + 8 * F.sqrt(F.lit(float(each))) + 16) / F.col("_n"))
+    bound = counts.select(target, (share * float(2**64) - float(2**63)).alias("_bound"))
+    first = known.join(F.broadcast(bound), target).where(F.col("_order").cast("double") <= F.col("_bound"))
+    w = Window.partitionBy(target).orderBy("_order", "doc_id")
+    first = first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each)
     return first.groupBy("doc_id").agg(F.min(target).alias(target)).orderBy(F.xxhash64("doc_id")).limit(each * classes)
