@@ -1,7 +1,9 @@
-"""Walk-forward backtests over date-ordered draws.
+"""Walk-forward backtests over all visible draws, ordered by date and draw number.
 
-The input holds one draw per lottery and calendar day, so a lottery has at most as many rows
-as days and a window over it is bounded by the calendar, not by the data.
+A lottery may hold any number of draws of one day. Ordinals come from a table of days (bounded by
+the calendar) and the chunked ordinal inside a day, so no window runs over a lottery's draws.
+Training never touches the day on which evaluation begins: the edge between both moves to the next
+date.
 """
 
 from __future__ import annotations
@@ -14,26 +16,47 @@ from pyspark.sql import functions as F
 
 from urnframe.functions.columns import hash_int, rounded
 from urnframe.operators.probability import pick_column
+from urnframe.plans.series import dense_index, running
+from urnframe.session import checkpoint_frame
 
 LOTTERY = ["lottery_id"]
 EVAL = ["lottery_id", "window", "draw_number"]
 METRICS = ["hit_rate", "average_matches", "consistency_score"]
+SPAN = 32  # draws between two stored prefix counts
 
 
-def by_day(daily: DataFrame) -> DataFrame:
-    """Add the draw's ordinal in date order."""
-    order = W.partitionBy("lottery_id").orderBy("draw_date")
-    return daily.withColumn("idx", F.row_number().over(order).cast("long") - 1)
+def days(draws: DataFrame) -> DataFrame:
+    """One row per lottery and date: draws, ordinal of its first one and of the next date's first."""
+    counted = draws.groupBy("lottery_id", "draw_date").agg(F.count("*").alias("_n"))
+    order = W.partitionBy("lottery_id").orderBy("draw_date")  # at most one row a calendar day
+    upto = F.sum("_n").over(order)
+    return counted.select(
+        "lottery_id", "draw_date", "_n", (upto - F.col("_n")).alias("day_from"), upto.alias("day_to"),
+        F.datediff("draw_date", F.lag("draw_date").over(order)).alias("_gap"),
+    )
+
+
+def by_day(draws: DataFrame) -> DataFrame:
+    """Add ``idx``, the draw's ordinal by (draw_date, draw_number), and ``day_to``, that of the next date's first."""
+    inside = dense_index(draws, ["lottery_id", "draw_date"], "draw_number", "_in")
+    placed = inside.join(days(draws).select("lottery_id", "draw_date", "day_from", "day_to"), ["lottery_id", "draw_date"])
+    return placed.withColumn("idx", F.col("day_from") + F.col("_in")).drop("day_from", "_in")
+
 
+def train_count(draws: DataFrame, years: int) -> DataFrame:
+    """Draws that make up ``years`` at the median gap between draws, at least one.
 
-def train_count(daily: DataFrame, years: int) -> DataFrame:
-    """Draws that make up ``years`` at the median gap between draws, at least one."""
-    order = W.partitionBy("lottery_id").orderBy("draw_date")
-    gap = F.datediff("draw_date", F.lag("draw_date").over(order))
-    stats = (
-        daily.select("lottery_id", gap.alias("_gap"))
-        .groupBy("lottery_id")
-        .agg(F.count("*").alias("draws"), F.median("_gap").alias("_median"))
+    The gaps are counted, not sorted: all but the first draw of a day are 0 days behind another one.
+    """
+    gaps = F.array(
+        F.struct(F.col("_gap").alias("days"), F.lit(1).cast("long").alias("times")),
+        F.struct(F.lit(0).alias("days"), (F.col("_n") - 1).alias("times")),
+    )
+    counted = days(draws).select("lottery_id", "_n", F.posexplode(gaps).alias("_at", "g"))
+    usable = F.col("g.days").isNotNull() & (F.col("g.times") > 0)
+    stats = counted.groupBy("lottery_id").agg(
+        F.sum(F.when(F.col("_at") == 0, F.col("_n"))).alias("draws"),
+        F.percentile(F.when(usable, F.col("g.days")), 0.5, F.when(usable, F.col("g.times")).otherwise(0)).alias("_median"),
     )
     median = F.when(F.coalesce(F.col("_median"), F.lit(0)) <= 0, F.lit(1.0)).otherwise(
         F.col("_median")
@@ -53,17 +76,28 @@ def check_data_floor(counts: DataFrame, min_train_draws: int = 100) -> DataFrame
     return counts
 
 
-def walk_forward_windows(counts: DataFrame, eval_count: int, step: int) -> DataFrame:
-    """Bounds of every window: train [train_from, eval_from), eval [eval_from, eval_to)."""
-    last = F.col("draws") - F.col("train_count") - eval_count
-    starts = F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long")))
-    start = F.posexplode(starts)
-    return counts.select("lottery_id", "train_count", start.alias("window", "train_from")).select(
-        "lottery_id",
-        F.col("window").cast("long").alias("window"),
-        "train_from",
-        (F.col("train_from") + F.col("train_count")).alias("eval_from"),
-        (F.col("train_from") + F.col("train_count") + eval_count).alias("eval_to"),
+def walk_forward_windows(counts: DataFrame, indexed: DataFrame, eval_count: int, step: int) -> DataFrame:
+    """Bounds of every window: train [train_from, eval_from), eval [eval_from, eval_to).
+
+    A window starts at every ``step``-th draw and trains on ``train_count`` draws and the rest of
+    the last one's day, so evaluation begins with a date. Windows without ``eval_count`` draws to
+    evaluate are left out.
+    """
+    starts = indexed.where(F.col("idx") % step == 0).select("lottery_id", F.col("idx").alias("train_from"))
+    last = F.col("train_from") + F.col("train_count") - 1
+    edges = indexed.select("lottery_id", F.col("idx").alias("_last"), F.col("day_to").alias("eval_from"))
+    return (
+        starts.join(counts, "lottery_id")
+        .withColumn("_last", last)
+        .join(edges, ["lottery_id", "_last"])
+        .where(F.col("eval_from") + eval_count <= F.col("draws"))
+        .select(
+            "lottery_id",
+            F.floor(F.col("train_from") / step).cast("long").alias("window"),
+            "train_from",
+            "eval_from",
+            (F.col("eval_from") + eval_count).alias("eval_to"),
+        )
     )
 
 
@@ -148,30 +182,37 @@ def strategy_model(scores: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def train_frequencies(windows: DataFrame, indexed: DataFrame, lottery: DataFrame) -> DataFrame:
+def train_frequencies(windows: DataFrame, indexed: DataFrame, lottery: DataFrame, span: int = SPAN) -> DataFrame:
     """Appearances of every number in the training range of every window.
 
-    Difference of two running counts at the range bounds; no training row is expanded.
+    Difference of two prefix counts at the range's edges. A prefix count is a running count over
+    spans of ``span`` draws and what lies inside the edge's own span; no training row is expanded.
     """
     universe = lottery.select(
         "lottery_id", F.explode(F.sequence("min_number", "max_number")).alias("number")
     )
-    grid = indexed.select("lottery_id", "idx", "numbers").join(universe, "lottery_id")
-    hit = F.array_contains(F.col("numbers"), F.col("number")).cast("long")
-    order = W.partitionBy("lottery_id", "number").orderBy("idx")
-    upto = grid.select(
-        "lottery_id",
-        "number",
-        F.col("idx").alias("_at"),
-        F.coalesce(F.sum(hit).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("c"),
+    at = F.floor(F.col("idx") / span).cast("long").alias("_span")
+    members = indexed.select("lottery_id", "idx", at, F.explode("numbers").alias("number"))
+    found = members.groupBy("lottery_id", "_span", "number").agg(F.count("*").alias("_n"))
+    spans = indexed.where(F.col("idx") % span == 0).select("lottery_id", at)
+    grid = spans.join(universe, "lottery_id").join(found, ["lottery_id", "_span", "number"], "left")
+    prefix = running(
+        grid.withColumn("_n", F.coalesce("_n", F.lit(0))), ["lottery_id", "number"], "_span", {"_c": ("sum", F.col("_n"))},
+        exclusive=True,
     )
-    low = upto.select("lottery_id", "number", F.col("_at").alias("train_from"), F.col("c").alias("c0"))
-    high = upto.select("lottery_id", "number", F.col("_at").alias("eval_from"), F.col("c").alias("c1"))
-    return (
-        windows.join(low, ["lottery_id", "train_from"])
-        .join(high, ["lottery_id", "eval_from", "number"])
-        .select("lottery_id", "window", "number", (F.col("c1") - F.col("c0")).alias("n"))
+    ends = F.array(
+        F.struct(F.col("train_from").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("eval_from").alias("at"), F.lit(1).alias("sign"))
+    )
+    edges = windows.select("lottery_id", "window", F.explode(ends).alias("e")).select(
+        "lottery_id", "window", "e.at", "e.sign", F.floor(F.col("e.at") / span).cast("long").alias("_span")
+    )
+    keys = ["lottery_id", "_span"]
+    whole = edges.join(prefix.select(*keys, "number", "_c"), keys).select(
+        "lottery_id", "window", "number", (F.col("sign") * F.coalesce("_c", F.lit(0))).alias("n")
     )
+    part = edges.join(members.join(universe, ["lottery_id", "number"], "left_semi"), keys).where(F.col("idx") < F.col("at"))
+    inside = part.select("lottery_id", "window", "number", F.col("sign").cast("long").alias("n"))
+    return whole.unionByName(inside).groupBy("lottery_id", "window", "number").agg(F.sum("n").alias("n"))
 
 
 def _frequency_picks(evals, windows, indexed, lottery, descending: bool, k: int = 5):
@@ -284,14 +325,15 @@ def aggregate_windows(per_window: DataFrame) -> DataFrame:
     )
 
 
-def plan_windows(daily: DataFrame, years: int, eval_count: int, step: int, floor: int = 100):
-    """Indexed draws and checked windows of a backtest."""
-    counts = check_data_floor(train_count(daily, years), floor)
-    return by_day(daily), walk_forward_windows(counts, eval_count, step)
+def plan_windows(draws: DataFrame, years: int, eval_count: int, step: int, floor: int = 100):
+    """Indexed draws (a written table) and checked windows of a backtest."""
+    counts = check_data_floor(train_count(draws, years), floor)
+    indexed = checkpoint_frame(by_day(draws))
+    return indexed, walk_forward_windows(counts, indexed, eval_count, step)
 
 
 def backtest(
-    daily: DataFrame,
+    draws: DataFrame,
     lottery: DataFrame,
     years: int = 2,
     eval_count: int = 30,
@@ -301,7 +343,7 @@ def backtest(
     strategies: bool = True,
 ) -> DataFrame:
     """Per-window metrics of the static pick, both benchmarks and the registered strategies."""
-    indexed, windows = plan_windows(daily, years, eval_count, step, floor)
+    indexed, windows = plan_windows(draws, years, eval_count, step, floor)
     evals = evaluation_rows(windows, indexed)
     rows = predictions(evals, lottery, seed)
     if strategies:

@@ -13,17 +13,20 @@ YEARS, EVAL_COUNT, STEP, SEED = 2, 30, 30, 11
 DAYS = f"""
 days AS (
   SELECT lottery_id, draw_number, draw_date,
-         row_number() OVER (PARTITION BY lottery_id ORDER BY draw_date) - 1 AS idx,
-         date_diff('day', lag(draw_date) OVER (PARTITION BY lottery_id ORDER BY draw_date), draw_date) AS gap
-  FROM daily_draws),
+         row_number() OVER (PARTITION BY lottery_id ORDER BY draw_date, draw_number) - 1 AS idx,
+         date_diff('day', lag(draw_date) OVER (PARTITION BY lottery_id ORDER BY draw_date, draw_number), draw_date) AS gap
+  FROM baskets),
+day_ends AS (SELECT lottery_id, draw_date, max(idx) + 1 AS day_to FROM days GROUP BY 1, 2),
 train_counts AS (
   SELECT lottery_id, count(*) AS draws,
-         cast(greatest(floor({YEARS * 365} / median(gap)), 1) AS bigint) AS train_count
+         cast(greatest(floor({YEARS * 365} / CASE WHEN median(gap) <= 0 THEN 1 ELSE median(gap) END), 1) AS bigint) AS train_count
   FROM days GROUP BY 1),
 windows AS (
-  SELECT lottery_id, s // {STEP} AS "window", s AS train_from, s + train_count AS eval_from,
-         s + train_count + {EVAL_COUNT} AS eval_to
-  FROM train_counts, LATERAL (SELECT unnest(range(0, draws - train_count - {EVAL_COUNT} + 1, {STEP})) AS s)),
+  SELECT c.lottery_id, s // {STEP} AS "window", s AS train_from, e.day_to AS eval_from, e.day_to + {EVAL_COUNT} AS eval_to
+  FROM train_counts c, LATERAL (SELECT unnest(range(0, draws, {STEP})) AS s)
+  JOIN days d ON d.lottery_id = c.lottery_id AND d.idx = s + train_count - 1
+  JOIN day_ends e ON e.lottery_id = d.lottery_id AND e.draw_date = d.draw_date
+  WHERE e.day_to + {EVAL_COUNT} <= c.draws),
 evals AS (
   SELECT w.lottery_id, w."window", d.draw_number, d.idx
   FROM windows w JOIN days d ON d.lottery_id = w.lottery_id AND d.idx >= w.eval_from AND d.idx < w.eval_to)"""
@@ -42,11 +45,15 @@ bench_picks AS (
   UNION ALL SELECT 'uniform', lottery_id, "window", draw_number, number FROM uniform_picks
   UNION ALL SELECT DISTINCT 'hypergeometric', lottery_id, "window", draw_number, number FROM hyper_draws)"""
 BASE_PICKS = """
+trained AS (
+  SELECT w.lottery_id, w."window", m.number, count(*) AS n
+  FROM windows w
+  JOIN days d ON d.lottery_id = w.lottery_id AND d.idx >= w.train_from AND d.idx < w.eval_from
+  JOIN members m ON m.draw_number = d.draw_number GROUP BY 1, 2, 3),
 train_counts_by AS (
-  SELECT w.lottery_id, w."window", u.n AS number, count(m.number) AS n
+  SELECT w.lottery_id, w."window", u.n AS number, coalesce(t.n, 0) AS n
   FROM windows w CROSS JOIN range(1, 46) u(n)
-  JOIN days d ON d.lottery_id = w.lottery_id AND d.idx >= w.train_from AND d.idx < w.eval_from
-  LEFT JOIN members m ON m.draw_number = d.draw_number AND m.number = u.n GROUP BY 1, 2, 3),
+  LEFT JOIN trained t ON t.lottery_id = w.lottery_id AND t."window" = w."window" AND t.number = u.n),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lottery_id, "window" ORDER BY n DESC, number) AS hi,
          row_number() OVER (PARTITION BY lottery_id, "window" ORDER BY n, number) AS lo FROM train_counts_by),
@@ -89,7 +96,7 @@ WINDOW_COLUMNS = """lottery_id, predictor, "window", round(hit_rate, 6) AS hit_r
 
 
 def planned(t):
-    return backtest.plan_windows(t.daily_draws, YEARS, EVAL_COUNT, STEP)
+    return backtest.plan_windows(t.dated_draws, YEARS, EVAL_COUNT, STEP)
 
 
 def evals(t):
@@ -113,7 +120,7 @@ def text(c: str):
 
 @job("train_count", f"{DAYS} SELECT * FROM train_counts")
 def _(t):
-    return backtest.train_count(t.daily_draws, YEARS)
+    return backtest.train_count(t.dated_draws, YEARS)
 
 
 @job("walk_forward_windows", f"{DAYS} SELECT * FROM windows")
@@ -134,7 +141,7 @@ def _(t):
 
 @job("check_data_floor", f"{DAYS} SELECT * FROM train_counts")
 def _(t):
-    return backtest.check_data_floor(backtest.train_count(t.daily_draws, YEARS), 100)
+    return backtest.check_data_floor(backtest.train_count(t.dated_draws, YEARS), 100)
 
 
 @job(
@@ -217,7 +224,7 @@ BACKTEST = f"{DAYS}, {BENCH_PICKS}, {BASE_PICKS}, {ALL_PICKS}, {match_sql('all_p
 
 @job("backtest", f"{BACKTEST} SELECT {WINDOW_COLUMNS} FROM per_window")
 def _(t):
-    return six(backtest.backtest(t.daily_draws, t.lottery, YEARS, EVAL_COUNT, STEP, SEED))
+    return six(backtest.backtest(t.dated_draws, t.lottery, YEARS, EVAL_COUNT, STEP, SEED))
 
 
 @job(

@@ -24,9 +24,7 @@ numbers AS (SELECT lottery_id, draw_number, position, number FROM draw_numbers W
 baskets AS (
   SELECT *, row_number() OVER (PARTITION BY lottery_id ORDER BY draw_number) - 1 AS idx
   FROM draws
-  WHERE NOT is_deleted AND draw_number IN (SELECT draw_number FROM members)),
-daily_draws AS (
-  SELECT lottery_id, min(draw_number) AS draw_number, draw_date FROM baskets GROUP BY lottery_id, draw_date)
+  WHERE NOT is_deleted AND draw_number IN (SELECT draw_number FROM members))
 """
 
 RAW_DRAWS = """

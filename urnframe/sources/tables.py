@@ -114,19 +114,10 @@ class Tables:
         ).select("lottery_id", "draw_number", (F.col("pos") + 1).alias("position"), "number")
 
     @cached_property
-    def daily_draws(self) -> DataFrame:
-        """Lowest visible draw of each lottery and date."""
-        first = F.min_by(F.struct("draw_number", "numbers", "super_number"), "draw_number")
+    def dated_draws(self) -> DataFrame:
+        """Visible draws of the backtests, numbers in rising order, as a written table."""
         return checkpoint_frame(
-            self.visible.groupBy("lottery_id", "draw_date")
-            .agg(first.alias("d"))
-            .select(
-                "lottery_id",
-                "d.draw_number",
-                "draw_date",
-                F.sort_array("d.numbers").alias("numbers"),
-                "d.super_number",
-            )
+            self.visible.select("lottery_id", "draw_number", "draw_date", F.sort_array("numbers").alias("numbers"))
         )
 
     @cached_property
