@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -221,40 +220,50 @@ def probability_bounds(empirical: DataFrame, scope: DataFrame, z: float = 1.96)
     )
 
 
-def frequent_itemsets(baskets: DataFrame, support: float, confidence: float = 0.1):
-    """Frequent sets and rules of all lotteries in one FP-growth run.
+def frequent_itemsets(baskets: DataFrame, support: float) -> DataFrame:
+    """Sets of numbers that at least a share of ``support`` of their own lottery's draws hold.
 
-    Items carry their lottery, so no set spans two lotteries. Support is relative to all draws.
+    lottery_id, items (rising), freq. Level by level: a draw carries its frequent sets of the level
+    before and extends each by its larger numbers, so every lottery keeps its own least count and a
+    small lottery never lowers that of a hot one. Counts combine before the shuffle.
     """
-    items = F.transform(
-        "numbers", lambda n: F.concat_ws(":", F.col("lottery_id").cast("string"), n.cast("string"))
+    sizes = baskets.groupBy("lottery_id").agg(F.count("*").alias("_n"))
+    scope = checkpoint_frame(sizes.select("lottery_id", F.ceil(F.lit(support) * F.col("_n")).alias("_least")))
+    start = baskets.select(*KEY, F.explode(F.array_distinct("numbers")).alias("x")).where("x is not null")
+    long = start.select(*KEY, F.array("x").alias("items"))
+    found = None
+    size = 1
+    while True:
+        counted = long.groupBy("lottery_id", "items").agg(F.count("*").alias("freq"))
+        level = checkpoint_frame(counted.join(scope, "lottery_id").where("freq >= _least").drop("_least"))
+        if level.isEmpty():
+            return level if found is None else found
+        found = level if found is None else found.unionByName(level)
+        kept = long.join(level.select("lottery_id", "items"), ["lottery_id", "items"], "left_semi")
+        own = kept.groupBy(*KEY).agg(F.collect_list("items").alias("_sets"))
+        # a set of the next level has all its parts among the frequent sets of the draw
+        numbers = F.sort_array(F.array_distinct(F.flatten("_sets")))
+        own = own.where(F.size("_sets") > size).select(*KEY, "_sets", numbers.alias("_numbers"))
+        larger = lambda s: F.filter("_numbers", lambda x: x > F.element_at(s, -1))
+        grown = F.flatten(F.transform("_sets", lambda s: F.transform(larger(s), lambda x: F.concat(s, F.array(x)))))
+        long = checkpoint_frame(own.select(*KEY, F.explode(grown).alias("items")))
+        size += 1
+
+
+def association_rules(baskets: DataFrame, sets: DataFrame, confidence: float = 0.1) -> DataFrame:
+    """Rules with one consequent from the frequent sets; support and lift within the rule's lottery."""
+    n = baskets.groupBy("lottery_id").agg(F.count("*").alias("_n"))
+    rest = lambda c: F.filter("items", lambda x: x != c)
+    whole = sets.where(F.size("items") > 1).select("lottery_id", "items", "freq", F.explode("items").alias("consequent"))
+    split = whole.select("lottery_id", rest(F.col("consequent")).alias("antecedent"), "consequent", "freq")
+    before = sets.select("lottery_id", F.col("items").alias("antecedent"), F.col("freq").alias("_a"))
+    alone = sets.where(F.size("items") == 1).select("lottery_id", F.col("items")[0].alias("consequent"), F.col("freq").alias("_c"))
+    joined = split.join(before, ["lottery_id", "antecedent"]).join(alone, ["lottery_id", "consequent"]).join(n, "lottery_id")
+    sure = F.col("freq") / F.col("_a")
+    return joined.where(sure >= confidence).select(
+        "lottery_id", "antecedent", "consequent", sure.alias("confidence"),
+        (sure * F.col("_n") / F.col("_c")).alias("lift"), (F.col("freq") / F.col("_n")).alias("support"),
     )
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(
-        baskets.select(items.alias("items"))
-    )
-    return model.freqItemsets, model.associationRules
-
-
-def lottery_itemsets(baskets: DataFrame, support: float, confidence: float = 0.1):
-    """Frequent sets (items, freq) and rules, the support a share of each lottery's own draws.
-
-    One FP-growth run mines at the least count that any lottery asks for; sets and rules below
-    their own lottery's count are dropped. The lift, too, is relative to the lottery's own draws.
-    """
-    own = baskets.groupBy(F.col("lottery_id").cast("string").alias("_l")).agg(F.count("*").alias("_n"))
-    least = F.ceil(F.lit(support) * F.col("_n"))
-    scope = checkpoint_frame(own.select("_l", "_n", least.alias("_least")))
-    low, total = scope.agg(F.min("_least"), F.sum("_n")).first()
-    # Half a count less: the share of all draws is a float, and sets at the limit must stay.
-    sets, rules = frequent_itemsets(baskets, max(low - 0.5, 0.0) / total if total else support, confidence)
-    lottery = lambda items: F.split(F.col(items)[0], ":")[0]
-    kept = sets.join(scope, lottery("items") == F.col("_l")).where("freq >= _least").select(sets.columns)
-    strong = rules.join(scope, lottery("antecedent") == F.col("_l")).where(
-        F.round(F.col("support") * total) >= F.col("_least")
-    )
-    lift = F.col("lift") * F.col("_n") / total
-    own_support = F.col("support") * total / F.col("_n")
-    return kept, strong.select("antecedent", "consequent", "confidence", lift.alias("lift"), own_support.alias("support"))
 
 
 def kmeans_draws(features: DataFrame, k: int = 4, seed: int = 0) -> DataFrame:

@@ -48,16 +48,6 @@ monte_carlo AS (
   JOIN (SELECT lottery_id, count(*) AS sims FROM baskets GROUP BY 1) s ON s.lottery_id = l.lottery_id
   LEFT JOIN (SELECT lottery_id, number, count(*) AS c FROM sim_picks GROUP BY 1, 2) h
     ON h.lottery_id = l.lottery_id AND h.number = u.n)"""
-MC_POINTS = """
-mc_points AS (
-  SELECT lottery_id, p, min(value) AS value FROM (
-    SELECT lottery_id, value, row_number() OVER (PARTITION BY lottery_id ORDER BY value) AS r,
-           count(*) OVER (PARTITION BY lottery_id) AS n FROM monte_carlo),
-    (VALUES (50), (90), (99)) q(p)
-  WHERE r >= greatest(ceil(p * n / 100), 1) GROUP BY 1, 2)"""
-SIZES = "sizes AS (SELECT lottery_id, cast(c AS int) AS good, count(*) AS draws FROM (SELECT lottery_id, draw_number, count(*) AS c FROM numbers GROUP BY 1, 2) GROUP BY 1, 2)"
-
-
 @job(
     "hypergeometric",
     f"""{SIZES} SELECT lottery_id, good, draws, cast(k AS int) AS k,
@@ -146,13 +136,12 @@ def _(t):
     return probability.conditional(t.baskets).withColumn("value", rounded("value"))
 
 
-PROB_VALUES = f"""{BAYES}, {MONTE_CARLO}, {MC_POINTS},
+STORED = ["empirical", "conditional", "bayes", "hypergeometric"]  # models that read the draws; simulation is for the library alone
+PROB_VALUES = f"""{BAYES},
 prob_rows AS (
   SELECT lottery_id, 'empirical' AS model_id, cast(number AS varchar) AS subject, value FROM empirical
   UNION ALL SELECT lottery_id, 'conditional', cast(number AS varchar), value FROM conditional
   UNION ALL SELECT lottery_id, 'bayes', cast(number AS varchar), value FROM bayes
-  UNION ALL SELECT lottery_id, 'monte_carlo', concat('prob_', number), value FROM monte_carlo
-  UNION ALL SELECT lottery_id, 'monte_carlo', concat('p', p), value FROM mc_points
   UNION ALL SELECT lottery_id, 'hypergeometric', cast(k AS varchar),
     ({choose_sql("4", "k")}) * ({choose_sql("41", "4 - k")}) / {choose_sql("45", "4")} FROM lottery, range(0, 5) r(k))"""
 
@@ -162,17 +151,17 @@ prob_rows AS (
     f"{PROB_VALUES} SELECT lottery_id, model_id, subject, round(round(value, 8), 6) AS value FROM prob_rows",
 )
 def _(t):
-    return probability.prob_values(t.baskets, t.lottery).withColumn("value", rounded("value"))
+    return probability.prob_values(t.baskets, t.lottery, STORED).withColumn("value", rounded("value"))
 
 
 @job(
     "read_prob_values",
     f"""{PROB_VALUES} SELECT lottery_id, model_id, subject, round(round(value, 8), 6) AS value FROM prob_rows
-        WHERE model_id = 'monte_carlo' AND subject = 'p90'""",
+        WHERE model_id = 'bayes' AND subject = '7'""",
 )
 def _(t):
-    values = probability.prob_values(t.baskets, t.lottery, ["monte_carlo"])
-    out = lookup.read_prob_values(values, "monte_carlo", "p90")
+    values = probability.prob_values(t.baskets, t.lottery, ["bayes"])
+    out = lookup.read_prob_values(values, "bayes", "7")
     return out.withColumn("value", rounded("value"))
 
 
@@ -181,6 +170,6 @@ def _(t):
     f"{EMPIRICAL} SELECT lottery_id, number, round(round(value, 8), 6) AS probability FROM empirical",
 )
 def _(t):
-    values = probability.prob_values(t.baskets, t.lottery, ["empirical", "monte_carlo"])
+    values = probability.prob_values(t.baskets, t.lottery, ["empirical"])
     out = probability.number_distribution(values)
     return out.withColumn("probability", rounded("probability"))

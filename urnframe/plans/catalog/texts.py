@@ -271,30 +271,54 @@ def _(t):
 
 
 SUPPORT = 0.0015
+
+
+def _sets_sql(size: int) -> str:
+    """Sets of ``size`` numbers of one draw, as their text and the texts of their parts."""
+    names = [f"i{k}" for k in range(size)]
+    joins = " ".join(
+        f"JOIN numbers {b} ON {b}.draw_number = {a}.draw_number AND {b}.number > {a}.number" for a, b in zip(names, names[1:])
+    )
+    items = ", ".join(f"{n}.number" for n in names)
+    return f"SELECT i0.lottery_id, [{items}] AS items, count(*) AS freq FROM numbers i0 {joins} GROUP BY ALL"
+
+
 ITEMS = f"""
-item AS (SELECT draw_number, concat(lottery_id, ':', number) AS i FROM numbers),
-least AS (SELECT ceil({SUPPORT} * count(*)) AS c FROM baskets),
+own AS (SELECT lottery_id, count(*) AS n, ceil({SUPPORT} * count(*)) AS least FROM baskets GROUP BY 1),
 sets AS (
-  SELECT i AS items, count(*) AS freq FROM item GROUP BY 1
-  UNION ALL
-  SELECT concat(a.i, ' ', b.i), count(*) FROM item a JOIN item b ON b.draw_number = a.draw_number AND a.i < b.i GROUP BY 1
-  UNION ALL
-  SELECT concat(a.i, ' ', b.i, ' ', c.i), count(*) FROM item a JOIN item b ON b.draw_number = a.draw_number AND a.i < b.i
-  JOIN item c ON c.draw_number = a.draw_number AND b.i < c.i GROUP BY 1)"""
+  SELECT s.lottery_id, items, freq FROM ({" UNION ALL ".join(_sets_sql(k) for k in range(1, 6))}) s
+  JOIN own ON own.lottery_id = s.lottery_id AND freq >= least)"""
+
 
+def _named(column: str):
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", "lottery_id", x)), " ")
 
-@job("frequent_itemsets", f"{ITEMS} SELECT items, freq FROM sets, least WHERE freq >= c")
+
+@job(
+    "frequent_itemsets",
+    f"{ITEMS} SELECT array_to_string(list_transform(items, lambda x: concat(lottery_id, ':', x)), ' ') AS items, freq FROM sets",
+)
 def _(t):
-    found, _rules = extras.frequent_itemsets(t.baskets, SUPPORT)
-    return found.select(F.array_join(F.sort_array("items"), " ").alias("items"), "freq")
+    return extras.frequent_itemsets(t.baskets, SUPPORT).select(_named("items").alias("items"), "freq")
 
 
-@job("association_rules")
+@job(
+    "association_rules",
+    f"""{ITEMS}, split AS (
+      SELECT lottery_id, freq, c, list_filter(items, lambda x: x <> c) AS a FROM (
+        SELECT lottery_id, items, freq, unnest(items) AS c FROM sets WHERE len(items) > 1))
+    SELECT array_to_string(list_transform(a, lambda x: concat(s.lottery_id, ':', x)), ' ') AS antecedent,
+           concat(s.lottery_id, ':', c) AS consequent, round(s.freq / b.freq, 6) AS confidence,
+           round(s.freq / b.freq * own.n / o.freq, 6) AS lift
+    FROM split s JOIN sets b ON b.lottery_id = s.lottery_id AND b.items = s.a
+    JOIN sets o ON o.lottery_id = s.lottery_id AND o.items = [s.c] JOIN own ON own.lottery_id = s.lottery_id
+    WHERE s.freq / b.freq >= 0.1""",
+)
 def _(t):
-    _found, rules = extras.lottery_itemsets(t.baskets, SUPPORT)
-    return rules.select(
-        F.array_join(F.sort_array("antecedent"), " ").alias("antecedent"),
-        F.array_join("consequent", " ").alias("consequent"),
+    sets = checkpoint_frame(extras.frequent_itemsets(t.baskets, SUPPORT))
+    return extras.association_rules(t.baskets, sets).select(
+        _named("antecedent").alias("antecedent"),
+        F.concat_ws(":", "lottery_id", "consequent").alias("consequent"),
         rounded("confidence").alias("confidence"),
         rounded("lift").alias("lift"),
     )
