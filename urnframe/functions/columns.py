@@ -58,8 +58,30 @@ def factorial_of(k: Column) -> Column:
     )
 
 
-def row_digest(*cols: Column) -> Column:
-    """sha-256 of the columns as text in the given order; nulls are spelled out."""
-    return F.sha2(
-        F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in cols]), 256
+def cell_text(c: Column) -> Column:
+    """A cell as text from which its kind and value can be read back.
+
+    Null is ``-``. Any other value is a letter of its kind (whole number, fraction, floating, boolean,
+    date, time, text), the number of bytes of its text, ``:`` and the text. Fractions lose zeros at
+    their end, so the scale of a column does not show. Cells are plain values; arrays and structs
+    have to be made text first.
+    """
+    kind = F.typeof(c)
+    letter = (
+        F.when(kind.isin("tinyint", "smallint", "int", "bigint"), "i")
+        .when(kind.startswith("decimal"), "d")
+        .when(kind.isin("float", "double"), "f")
+        .when(kind == "boolean", "b")
+        .when(kind == "date", "D")
+        .when(kind.startswith("timestamp"), "T")
+        .otherwise("s")
     )
+    text = c.cast("string")
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    text = F.when(kind.startswith("decimal"), short).otherwise(text)
+    return F.coalesce(F.concat(letter, F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
+def row_digest(*cols: Column) -> Column:
+    """sha-256 of the columns' :func:`cell_text` in the given order: different rows have different texts."""
+    return F.sha2(F.concat(*[cell_text(c) for c in cols]), 256)

@@ -55,8 +55,8 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
 
 def input_fingerprint(parameters: dict[str, object], data: Column, generator: str) -> Column:
     """Identity of a result: sorted parameters, data fingerprint, generator version."""
-    pairs = [F.lit(f"{k}={parameters[k]}") for k in sorted(parameters)]
-    return F.sha2(F.concat_ws("|", *pairs, data, F.lit(generator)), 256)
+    pairs = [F.lit(x) for k in sorted(parameters) for x in (k, parameters[k])]
+    return row_digest(*pairs, data, F.lit(generator))
 
 
 def active_snapshot(snapshots: DataFrame) -> DataFrame:

@@ -47,9 +47,15 @@ def _one(broken: Column, code: str, message: Column) -> Column:
     return F.when(broken, F.array(error(code, message)))
 
 
+def _fits(raw: Column, kind: str) -> Column:
+    """Whether a well-formed cell has a value of the column's type."""
+    return raw.try_cast(kind).isNotNull()
+
+
 def bad_row_number() -> Column:
+    """No positive whole number, or one that the key column cannot hold."""
     return _one(
-        ~strip("draw_number").rlike(POSITIVE),
+        ~strip("draw_number").rlike(POSITIVE) | ~_fits(strip("draw_number"), "long"),
         "bad_row_number",
         F.concat(F.lit("draw number: "), strip("draw_number")),
     )
@@ -96,15 +102,18 @@ def bad_super_number() -> Column:
 
 
 def bad_jackpot() -> Column:
+    """No decimal, or one that the column cannot hold: not a number, infinite, too large."""
     raw = strip("jackpot")
+    ok = raw.rlike(DECIMAL) & _fits(raw, "decimal(18,2)")
     return _one(
-        (raw != "") & ~raw.rlike(DECIMAL), "bad_jackpot", F.concat(F.lit("jackpot: "), raw)
+        (raw != "") & ~ok, "bad_jackpot", F.concat(F.lit("jackpot: "), raw)
     )
 
 
 def bad_winners() -> Column:
     raw = strip("winners")
-    return _one((raw != "") & ~raw.rlike(DIGITS), "bad_winners", F.concat(F.lit("winners: "), raw))
+    ok = raw.rlike(DIGITS) & _fits(raw, "long")
+    return _one((raw != "") & ~ok, "bad_winners", F.concat(F.lit("winners: "), raw))
 
 
 # Checks in the order their errors are reported.
@@ -162,7 +171,7 @@ def classify_rows(validated: DataFrame, existing: DataFrame) -> DataFrame:
     so a key with a third of all rows costs one row per task. Rows with errors get a key of
     their own and cannot pile up under a null key in the join.
     """
-    ok = F.size("errors") == 0
+    ok = (F.size("errors") == 0) & _fits(strip("draw_number"), "long")  # checks may have been left out
     key = F.when(ok, strip("draw_number").try_cast("long")).otherwise(-F.col("row_number"))
     keyed = validated.select("lottery_id", "row_number", key.alias("draw_number"), ok.alias("_ok"))
     known = existing.select(*KEY, F.lit(True).alias("_known"))
@@ -209,9 +218,10 @@ def resume_import(raw: DataFrame, runs: DataFrame, identity: dict[str, str]) ->
 
 
 def append_new_draws(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """First row of every natural key that the table does not hold yet."""
+    """First row of every natural key that the table does not hold yet. Rows without a key are no draws."""
     others = [c for c in rows.columns if c not in KEY]
-    first = rows.groupBy(*KEY).agg(F.min_by(F.struct(*others), "row_number").alias("_r"))
+    keyed = rows.where(F.col(KEY[0]).isNotNull() & F.col(KEY[1]).isNotNull())
+    first = keyed.groupBy(*KEY).agg(F.min_by(F.struct(*others), "row_number").alias("_r"))
     fresh = first.join(existing.select(*KEY), KEY, "left_anti")
     return fresh.select(*KEY, "_r.*")
 

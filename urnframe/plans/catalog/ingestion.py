@@ -25,7 +25,7 @@ parsed AS (
                            lambda x: cast(x AS bigint)) AS vals FROM cells),
 found AS (
   SELECT lottery_id, row_number, 1 AS ord, 'bad_row_number' AS code, 1 AS n FROM parsed
-  WHERE NOT regexp_full_match(trim(draw_number), '[0-9]*[1-9][0-9]*')
+  WHERE NOT regexp_full_match(trim(draw_number), '[0-9]*[1-9][0-9]*') OR try_cast(trim(draw_number) AS bigint) IS NULL
   UNION ALL
   SELECT lottery_id, row_number, 2, 'bad_draw_date', 1 FROM parsed
   WHERE NOT regexp_full_match(trim(draw_date), '[0-9]{4}-[0-9]{2}-[0-9]{2}') OR try_cast(trim(draw_date) AS date) IS NULL
@@ -40,9 +40,9 @@ found AS (
   UNION ALL SELECT lottery_id, row_number, 6, 'bad_super_number', 1 FROM parsed
   WHERE trim(super_number) <> '' AND coalesce(try_cast(super_number AS int), 0) NOT BETWEEN 1 AND 16
   UNION ALL SELECT lottery_id, row_number, 7, 'bad_jackpot', 1 FROM parsed
-  WHERE trim(jackpot) <> '' AND try_cast(jackpot AS double) IS NULL
+  WHERE trim(jackpot) <> '' AND try_cast(trim(jackpot) AS decimal(18,2)) IS NULL
   UNION ALL SELECT lottery_id, row_number, 8, 'bad_winners', 1 FROM parsed
-  WHERE trim(winners) <> '' AND NOT regexp_full_match(trim(winners), '[0-9]+')),
+  WHERE trim(winners) <> '' AND (NOT regexp_full_match(trim(winners), '[0-9]+') OR try_cast(trim(winners) AS bigint) IS NULL)),
 valid AS (
   SELECT lottery_id, row_number, cast(trim(draw_number) AS bigint) AS draw_number FROM raw_draws r
   WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.lottery_id = r.lottery_id AND f.row_number = r.row_number)),
@@ -351,6 +351,16 @@ def _(t):
     return datasets.dedupe_keep_first(t.raw("events"), "user_id", "event_id")
 
 
+def cell(kind: str, value: str) -> str:
+    """The text of a cell in a row digest."""
+    text = f"cast({value} AS varchar)"
+    return f"coalesce('{kind}' || strlen({text}) || ':' || {text}, '-')"
+
+
+def row_sql(*cells: tuple[str, str]) -> str:
+    return "sha256(" + " || ".join(cell(*c) for c in cells) + ")"
+
+
 WORDS = ", ".join(
     f"sum(cast('0x' || substr(digest, {1 + 6 * i}, 6) AS bigint))" for i in range(identity.WORDS)
 )
@@ -360,7 +370,7 @@ CLOSE = f"sha256(concat_ws('|', count(*), {WORDS}))"
 @job(
     "dataset_checksum",
     f"""{SELECTION}, hashed AS (
-      SELECT lottery_id, sha256(concat_ws('|', '1996..1997', 'gen-1', composition_id, draw_number)) AS digest
+      SELECT lottery_id, {row_sql(("s", "'1996..1997'"), ("s", "'gen-1'"), ("i", "composition_id"), ("i", "draw_number"))} AS digest
       FROM selection)
     SELECT lottery_id, count(*) AS row_count, {CLOSE} AS fingerprint FROM hashed GROUP BY 1""",
 )
@@ -389,11 +399,10 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@job(
-    "row_digest",
-    """SELECT draw_number, sha256(concat_ws('|', lottery_id, draw_number, draw_date,
-              coalesce(cast(winners AS varchar), '~'), is_deleted)) AS digest FROM draws""",
-)
+DRAW_ROW = row_sql(("i", "lottery_id"), ("i", "draw_number"), ("D", "draw_date"), ("i", "winners"), ("b", "is_deleted"))
+
+
+@job("row_digest", f"SELECT draw_number, {DRAW_ROW} AS digest FROM draws")
 def _(t):
     cols = ["lottery_id", "draw_number", "draw_date", "winners", "is_deleted"]
     return t.draws.select("draw_number", row_digest(*[F.col(c) for c in cols]).alias("digest"))
@@ -401,8 +410,7 @@ def _(t):
 
 FINGERPRINT = f"""
 hashed AS (
-  SELECT lottery_id, sha256(concat_ws('|', lottery_id, draw_number, draw_date,
-         coalesce(cast(winners AS varchar), '~'), is_deleted)) AS digest FROM draws),
+  SELECT lottery_id, {DRAW_ROW} AS digest FROM draws),
 prints AS (SELECT lottery_id, count(*) AS row_count, {CLOSE} AS fingerprint FROM hashed GROUP BY 1)"""
 DRAW_COLUMNS = ["lottery_id", "draw_number", "draw_date", "winners", "is_deleted"]
 
@@ -415,7 +423,8 @@ def _(t):
 @job(
     "input_fingerprint",
     f"""{FINGERPRINT} SELECT lottery_id,
-          sha256(concat_ws('|', 'cut=80', 'model=empirical', fingerprint, 'gen-1')) AS fingerprint FROM prints""",
+          {row_sql(("s", "'cut'"), ("i", "80"), ("s", "'model'"), ("s", "'empirical'"), ("s", "fingerprint"), ("s", "'gen-1'"))}
+            AS fingerprint FROM prints""",
 )
 def _(t):
     prints = identity.table_fingerprint(t.draws, DRAW_COLUMNS, ["lottery_id"])

@@ -80,7 +80,9 @@ def read_draw_csv(spark: SparkSession, path: str, check: bool = True) -> DataFra
     """All-text rows of every file under ``path`` with their physical ``row_number``.
 
     The header is line 1. Lines are numbered from per-block counts, so a file is never read by
-    a single task: block sizes are summed in file order and added to the place in the block.
+    a single task: block sizes are summed in file order and added to the place in the block. With
+    ``check``, a broken header of any file is an error, and a file with a byte that is not UTF-8
+    gives no rows (:func:`undecodable_files` names it).
     """
     if check:
         check_header(spark, path)
@@ -92,7 +94,8 @@ def read_draw_csv(spark: SparkSession, path: str, check: bool = True) -> DataFra
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    return number_lines(rows.select("*", *file_place()))
+    numbered = number_lines(rows.select("*", *file_place()))
+    return numbered.join(undecodable_files(spark, path), "source_file", "left_anti") if check else numbered
 
 
 def number_lines(rows: DataFrame) -> DataFrame:
@@ -110,12 +113,13 @@ def number_lines(rows: DataFrame) -> DataFrame:
     )
 
 
-def undecodable(rows: DataFrame) -> DataFrame:
-    """Rows holding bytes that are not valid UTF-8 (a whole-file reject)."""
-    broken = F.lit(False)
-    for name in HEADER:
-        broken = broken | F.contains(F.col(name), F.lit("�"))
-    return rows.where(broken)
+def undecodable_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files under ``path`` with a line that is not valid UTF-8; such a file is refused as a whole.
+
+    The text reader keeps the bytes of a line as they are.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), "value")
+    return lines.where(~F.is_valid_utf8("value")).select("source_file").distinct()
 
 
 def _line_pieces(spark: SparkSession, path: str, files: DataFrame, size: int) -> DataFrame:
