@@ -18,6 +18,7 @@ import hashlib
 import pickle
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -104,60 +105,65 @@ class Aligner:
             self.bytes_a[i] = piece
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.names = [f"{i}{sign}" for pieces_of, signs in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for sign in signs for i in range(len(pieces_of))]
         self.blank = [self.b.piece_to_id(SPACE)]
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.grouped = False
         self.forget()
 
     def forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.groups: list[bytes] = []
+        self.texts: list[str] = []  # groups of every unit, as text that ends with ";"
         self.table = np.zeros((0, 4), np.int64)  # fits, tokens of A, tokens of B, links
         self.links = np.zeros(0, np.uint64)
         self.first = np.zeros(1, np.int64)
 
-    def _encode(self, units: list[str]) -> tuple[list, list]:
-        encode = self.a.encode_ordinary
+    def _encode(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of all units in a row and how many each has, under both vocabularies."""
+        a = list(map(self.a.encode_ordinary, units))
         b = self.b.encode([u[1:] for u in units], num_threads=1) if units else []
-        return [encode(u) for u in units], [x if len(u) > 1 else self.blank for u, x in zip(units, b)]
+        b = [x if len(u) > 1 else self.blank for u, x in zip(units, b)]
+        out = []
+        for lists in (a, b):
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            out.append((np.fromiter(chain.from_iterable(lists), np.int64, n.sum()), n))
+        return out
 
-    def _learn(self, units: list[str]) -> None:
-        """Align new units; their codes follow those of the known ones."""
-        a, b = self._encode(units)
+    def _fits(self, units: list[str], ids: np.ndarray, n: np.ndarray, pieces: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each unit spell it."""
         raw = [u.encode() for u in units]
-        fits = np.array(
-            [
-                x == b"".join([self.bytes_a[i] for i in p]) == b"".join([self.bytes_b[i] for i in q])
-                for x, p, q in zip(raw, a, b)
-            ], bool,
-        )
-        ok = np.flatnonzero(fits)
-        n_a, n_b = np.array([len(a[i]) for i in ok], np.int64), np.array([len(b[i]) for i in ok], np.int64)
-        ids_a = np.fromiter((x for i in ok for x in a[i]), np.int64, n_a.sum())
-        ids_b = np.fromiter((x for i in ok for x in b[i]), np.int64, n_b.sum())
-        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
-        common, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        bounds = np.cumsum([len(raw[i]) for i in ok])
-        n_links = np.bincount(np.searchsorted(bounds, common), minlength=len(ok)).astype(np.int64)
-        names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        texts, k = [], 0
-        i = j = 0
-        ends = list(zip((at_a + 1).tolist(), (at_b + 1).tolist()))
-        for n in n_links.tolist():
-            own = []
-            for p, q in ends[k : k + n]:
-                own.append(",".join(names_a[i:p]) + "|" + ",".join(names_b[j:q]))
-                i, j = p, q
-            texts.append(";".join(own).encode())
-            k += n
-        rows = np.zeros((len(units), 4), np.int64)
-        rows[ok] = np.stack([np.ones(len(ok), np.int64), n_a, n_b, n_links], 1)
-        groups = [b""] * len(units)
-        for i, t in zip(ok, texts):
-            groups[i] = t
-        self.groups += groups
-        self.table = np.concatenate([self.table, rows])
-        self.links = np.concatenate([self.links, (ids_a[at_a].astype(np.uint64) << U64(32)) | ids_b[at_b].astype(np.uint64)])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(rows[:, 3])])
+        spelt = list(map(pieces.__getitem__, ids.tolist()))
+        ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.cumsum(n)]
+        if b"".join(spelt) == b"".join(raw) and (ends == np.cumsum(list(map(len, raw)))).all():
+            return np.ones(len(units), bool)
+        at = np.cumsum(n) - n
+        return np.array([b"".join(spelt[i : i + k]) == r for i, k, r in zip(at.tolist(), n.tolist(), raw)], bool)
+
+    def _learn(self, units: list[str], texts: bool) -> None:
+        """Align new units; their codes follow those of the known ones."""
+        (a, n_a), (b, n_b) = self._encode(units)
+        ok = self._fits(units, a, n_a, self.bytes_a, self.size_a) & self._fits(units, b, n_b, self.bytes_b, self.size_b)
+        if not ok.all():
+            a, b = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)]
+        n_a, n_b = n_a * ok, n_b * ok
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        total = int(ends_a[-1]) if len(a) else 0
+        in_a, in_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
+        in_a[ends_a] = in_b[ends_b] = True
+        last_a, last_b = in_b[ends_a], in_a[ends_b]  # the last token of a group
+        links = (a[last_a].astype(np.uint64) << U64(32)) | b[last_b].astype(np.uint64)
+        n_links = np.diff(np.concatenate([[0], np.cumsum(last_a)])[np.concatenate([[0], np.cumsum(n_a)])])
+        if texts:
+            # tokens in the order of the text: a group's of A, then its of B, each with the sign behind it
+            group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+            order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+            names = np.concatenate([a + last_a * len(self.bytes_a), 2 * len(self.bytes_a) + b + last_b * len(self.bytes_b)])
+            parts = list(map(self.names.__getitem__, names[order].tolist()))
+            ends = np.cumsum(n_a + n_b).tolist()
+            self.texts += ["".join(parts[i:j]) for i, j in zip([0, *ends], ends)]
+        self.table = np.concatenate([self.table, np.stack([ok, n_a, n_b, n_links], 1)])
+        self.links = np.concatenate([self.links, links])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n_links)])
 
     def _codes(self, text: str) -> np.ndarray:
         out, at = [], 0
@@ -165,7 +171,7 @@ class Aligner:
             edge = EDGE.search(text, at + SEGMENT) if self.cuts else None
             end = edge.end() if edge else len(text)
             units = UNIT.findall(text[at:end]) if self.cuts else [text]
-            fresh = list(set(units) - self.code.keys())
+            fresh = [u for u in set(units) if u not in self.code]
             for u in fresh:
                 self.code[u] = len(self.code)
             self.fresh += fresh
@@ -173,17 +179,19 @@ class Aligner:
             at = end
         return np.concatenate(out)
 
-    def units(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def units(self, texts: list[str | None], groups: bool) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the units of all texts, and where each text begins and ends in them.
 
         Texts that are null or empty, or whose tokens do not spell blank and text, have no units.
+        With ``groups`` the units' ``texts`` are there, too.
         """
-        if len(self.code) > UNITS:
+        if len(self.code) > UNITS or groups != self.grouped:
             self.forget()
+        self.grouped = groups
         self.fresh: list[str] = []
         codes = [self._codes(" " + t) if t else np.zeros(0, np.int64) for t in texts]
         if self.fresh:
-            self._learn(self.fresh)
+            self._learn(self.fresh, groups)
         for i, own in enumerate(codes):
             if len(own) and not self.table[own, 0].all():
                 codes[i] = self._whole(" " + texts[i])
@@ -193,7 +201,7 @@ class Aligner:
         """A text as one unit, if its tokens spell it."""
         if text not in self.code:
             self.code[text] = len(self.code)
-            self._learn([text])
+            self._learn([text], self.grouped)
         own = np.array([self.code[text]])
         return own if self.table[own[0], 0] else own[:0]
 
@@ -229,9 +237,9 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
 class Linked:
     """The different linked pairs of a block's documents, by cell, and how often each is linked."""
 
-    def __init__(self, texts: list[str | None], cells: int):
+    def __init__(self, texts: list[str | None], cells: int, groups: bool = False):
         self.of = aligner()
-        self.codes, self.bounds = self.of.units(texts)
+        self.codes, self.bounds = self.of.units(texts, groups)
         self.used, self.times = np.unique(self.codes, return_counts=True)
         n = self.of.table[self.used, 3]
         start = np.cumsum(n) - n
@@ -353,7 +361,7 @@ def _aligned(cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = Linked(batch["texts"][i].as_py(), cells)
+                own = Linked(batch["texts"][i].as_py(), cells, groups=True)
                 got = {a["cell"]: a["answer"] for a in batch["answers"][i].as_py() or []}
                 counts = np.zeros(len(own.pairs), np.int64)
                 for a, b in zip(own.cuts, own.cuts[1:]):
@@ -373,7 +381,9 @@ def _aligned(cells: int):
                 for a, b in zip(own.bounds.tolist(), own.bounds[1:].tolist()):
                     digest = hashlib.sha256()
                     for k in range(a, b, 1 << 18):  # a long text's groups are joined in parts
-                        digest.update((b";" if k > a else b"") + b";".join([own.of.groups[c] for c in own.codes[k : min(b, k + (1 << 18))]]))
+                        end = min(b, k + (1 << 18))
+                        text = "".join(map(own.of.texts.__getitem__, own.codes[k:end].tolist()))
+                        digest.update((text[:-1] if end == b else text).encode())
                     hashes.append(digest.hexdigest() if b > a else "")
                 n_a, n_b, links, best, total = sums.T
                 yield pa.RecordBatch.from_arrays(
