@@ -40,12 +40,12 @@ def line_spread(docs: DataFrame, sites: int = SITES, margin: float = MARGIN) ->
     the estimate of the sketch, which lies beyond the margin. Blank lines are never counted.
     """
     lines = _numbered(docs)
-    # a sketch per line and task, then their union; a line that occurs on fewer rows needs no sketch read
-    sketches = lines.groupBy("line_hash").agg(
-        F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")
+    # a line of fewer rows than sites is on fewer sites; of the others, a sketch per line and task, then their union
+    often = stored(lines.groupBy("line_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("line_hash"))
+    sketches = lines.join(often, "line_hash", "left_semi").groupBy("line_hash").agg(
+        F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")
     )
-    estimate = F.hll_sketch_estimate("sketch")
-    sized = sketches.where(F.col("n") >= sites).select("line_hash", estimate.alias("estimate"))
+    sized = sketches.select("line_hash", F.hll_sketch_estimate("sketch").alias("estimate"))
     high = stored(sized.where(F.col("estimate") >= sites * (1 - margin)))
     sure = high.where(F.col("estimate") > sites * (1 + margin))
     near = high.where(F.col("estimate") <= sites * (1 + margin))
