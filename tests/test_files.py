@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from urnframe.operators import ingest
-from urnframe.sources import csv, sinks
+from urnframe.sources import csv, importing, sinks
 from urnframe.streaming import jobs
 
+# Lines of a draw file and one fault for each check.
 HEADER = ",".join(csv.HEADER)
 GOOD = '100,2024-01-05,"1,2,3,4,5,6",7,5000000.00,3'
 FAULTS = {
@@ -144,15 +145,13 @@ def test_snapshot_is_immutable(spark, tmp_path):
 def test_stream_import_twice_adds_nothing(spark, tmp_path, rules_of):
     source = tmp_path / "in"
     write(source / "lottery_id=1", [HEADER, GOOD, GOOD, FAULTS["bad_jackpot"]], "a.csv")
-    places = [str(tmp_path / n) for n in ("draws", "errors", "checkpoint")]
-    target, errors, checkpoint = places
-    args = (spark, str(source), target, errors, checkpoint, rules_of())
+    root, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    args = (spark, str(source), root, checkpoint, rules_of())
     jobs.stream_import(*args)
     write(source / "lottery_id=1", [HEADER, GOOD, GOOD.replace("100", "300")], "b.csv")
     jobs.stream_import(*args)
-    done = spark.read.option("mergeSchema", True).parquet(target)
-    assert sorted(r.draw_number for r in done.select("draw_number").collect()) == [100, 300]
-    assert [r.error_code for r in spark.read.parquet(errors).collect()] == ["bad_jackpot"]
+    assert sorted(r.draw_number for r in importing.committed(spark, root).collect()) == [100, 300]
+    assert [(r.error_code, r.line) for r in importing.committed(spark, root, "errors").collect()] == [("bad_jackpot", 4)]
 
 
 def test_every_first_line_is_checked(spark, tmp_path):

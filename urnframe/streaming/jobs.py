@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from urnframe.operators import ingest
 from urnframe.session import checkpoint_frame
-from urnframe.sources import csv
-from urnframe.sources.sinks import quarantine_errors
+from urnframe.sources.importing import stream_files
 
-KEY = ["lottery_id", "draw_number"]
 NUMBER = ["lottery_id", "number"]
+GAP_BITS = 16  # draw numbers of a chunk of gap summaries
 
 
 def run_to_end(writer, checkpoint: str) -> None:
@@ -47,55 +43,7 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 # --- import ----------------------------------------------------------------
 
-
-def stream_import(
-    spark: SparkSession,
-    source: str,
-    target: str,
-    quarantine: str,
-    checkpoint: str,
-    lottery: DataFrame,
-    files_per_batch: int = 100,
-) -> None:
-    """Import every draw file under ``source`` (one folder per ``lottery_id``).
-
-    Each micro-batch goes through the batch validation and classification; new draws are
-    appended to ``target`` and errors to ``quarantine``, both by batch id. The stream's own
-    checkpoint takes the place of a resume point.
-    """
-    schema = T.StructType([*csv.SCHEMA.fields, T.StructField("lottery_id", T.IntegerType())])
-    rows = (
-        spark.readStream.schema(schema)
-        .option("header", True)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .csv(source)
-        .select("*", *csv.file_place())
-    )
-    # The empty first batch fixes the schema of the target, so every batch can read it.
-    empty = spark.createDataFrame([], "lottery_id int, draw_number bigint")
-    empty.write.mode("overwrite").parquet(f"{target}/batch=-1")
-
-    def load(batch: DataFrame, batch_id: int) -> None:
-        lines = csv.number_lines(batch).drop("source_file", "row_number")
-        # Rows of several files get one order, so the first valid copy of a draw wins.
-        placed = lines.withColumn("row_number", F.monotonically_increasing_id())
-        validated = checkpoint_frame(ingest.validate_rows(placed, lottery))
-        # A batch that is run again must not see what its first try wrote.
-        known = (
-            spark.read.option("mergeSchema", True)
-            .parquet(target)
-            .where(F.col("batch") < batch_id)
-            .select(*KEY)
-        )
-        valid = validated.where(F.size("errors") == 0)
-        fresh = ingest.append_new_draws(ingest.normalize_rows(valid), known)
-        fresh.drop("row_number").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        broken = quarantine_errors(validated)
-        broken.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
-
-    run_to_end(rows.writeStream.foreachBatch(load), checkpoint)
+stream_import = stream_files  # one import for batch jobs and streams, see sources.importing
 
 
 # --- counts and dedupe -----------------------------------------------------
@@ -120,42 +68,61 @@ def windowed_draws(events: DataFrame, time: str, by: str, item: str, window: Col
 
 # --- gap state -------------------------------------------------------------
 
-GAP_OUTPUT = "lottery_id int, number int, last_seen bigint, gap_count bigint, gap_min bigint, gap_max bigint, gap_sum bigint"
-GAP_STATE = "last_seen bigint, gap_count bigint, gap_min bigint, gap_max bigint, gap_sum bigint"
-
-
-def _fold_gaps(
-    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Extend one number's gap summary by the draws of a micro-batch."""
-    last, count, low, high, total = state.get if state.exists else (None, 0, None, None, 0)
-    drawn = sorted(d for frame in frames for d in frame["draw_number"])
-    for draw in drawn:
-        if last is not None:
-            gap = draw - last
-            count, total = count + 1, total + gap
-            low = gap if low is None else min(low, gap)
-            high = gap if high is None else max(high, gap)
-        last = draw
-    state.update((last, count, low, high, total))
-    row = dict(
-        zip(
-            ["lottery_id", "number", "last_seen", "gap_count", "gap_min", "gap_max", "gap_sum"],
-            [*key, last, count, low, high, total],
-        )
+
+def chunk_gaps(rows: DataFrame) -> DataFrame:
+    """Gap summary of every (lottery, number, chunk): first and last draw, and count, min, max and sum of gaps.
+
+    Summaries of neighbouring chunks merge by the gap between them (:func:`merged_gaps`).
+    """
+    keys = [*NUMBER, "chunk"]
+    order = W.partitionBy(*keys).orderBy("draw_number")  # at most the draws of a chunk
+    gap = F.col("draw_number") - F.lag("draw_number").over(order)
+    return rows.select(*keys, "draw_number", gap.alias("gap")).groupBy(*keys).agg(
+        F.min("draw_number").alias("first_seen"), F.max("draw_number").alias("last_seen"), F.count("gap").alias("gap_count"),
+        F.min("gap").alias("gap_min"), F.max("gap").alias("gap_max"), F.coalesce(F.sum("gap"), F.lit(0)).alias("gap_sum"),
     )
-    yield pd.DataFrame([row]).astype({"gap_min": "Int64", "gap_max": "Int64"})
 
 
-def stream_gap_state(numbers: DataFrame) -> DataFrame:
-    """Last draw, count, min, max and sum of gaps (in draw numbers) per number.
+def merged_gaps(chunks: DataFrame) -> DataFrame:
+    """Last draw, count, min, max and sum of gaps (in draw numbers) per number, over its chunks in order."""
+    order = W.partitionBy(*NUMBER).orderBy("chunk")  # one row for each 2**GAP_BITS draw numbers
+    bridge = F.col("first_seen") - F.lag("last_seen").over(order)
+    bridged = chunks.select("*", bridge.alias("bridge"))
+    return bridged.groupBy(*NUMBER).agg(
+        F.max("last_seen").alias("last_seen"),
+        (F.sum("gap_count") + F.count("bridge")).alias("gap_count"),
+        F.least(F.min("gap_min"), F.min("bridge")).alias("gap_min"),
+        F.greatest(F.max("gap_max"), F.max("bridge")).alias("gap_max"),
+        (F.sum("gap_sum") + F.coalesce(F.sum("bridge"), F.lit(0))).alias("gap_sum"),
+    )
+
+
+def gap_batches(root: str) -> Callable[[DataFrame, int], None]:
+    """Sink that keeps the gap summaries of (lottery, number, draw) rows under ``root``, late rows included.
 
-    Micro-batches come in draw order; the rate limit of the source bounds the rows a group
-    holds at a time to one number's draws of one micro-batch.
+    Each micro-batch appends its rows, by chunk of draw numbers, and summarises again the chunks that it
+    touches: in order that is the newest one, a late row touches its own. Repeated rows count once.
     """
-    return numbers.groupBy(*NUMBER).applyInPandasWithState(
-        _fold_gaps, GAP_OUTPUT, GAP_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    rows_at, gaps_at = f"{root}/rows", f"{root}/gaps"
+    schema = "lottery_id int, number int, draw_number bigint, batch bigint, chunk bigint"
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = checkpoint_frame(
+            batch.select(*NUMBER, "draw_number", F.shiftright(F.col("draw_number").cast("long"), GAP_BITS).alias("chunk")).distinct()
+        )
+        own.write.mode("overwrite").partitionBy("chunk").parquet(f"{rows_at}/batch={batch_id}")
+        touched = own.select(*NUMBER, "chunk").distinct()
+        known = spark.read.schema(schema).parquet(rows_at).where(F.col("batch") <= batch_id)
+        whole = known.join(touched, [*NUMBER, "chunk"], "left_semi").select(*NUMBER, "chunk", "draw_number").distinct()
+        chunk_gaps(whole).write.mode("overwrite").parquet(f"{gaps_at}/batch={batch_id}")
+
+    return load
+
+
+def gap_state(spark: SparkSession, root: str) -> DataFrame:
+    """The gap summary per number from a sink of :func:`gap_batches`."""
+    return merged_gaps(latest(spark, f"{root}/gaps", [*NUMBER, "chunk"]))
 
 
 # --- delta fold ------------------------------------------------------------
