@@ -31,14 +31,14 @@ def _binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], 1)
 
 
-def _tree(binned: np.ndarray, y: np.ndarray, w: np.ndarray, subset: int, rng) -> tuple[np.ndarray, ...]:
+def _tree(binned: np.ndarray, y: np.ndarray, w: np.ndarray, subset: int, rng, depth: int = DEPTH) -> tuple[np.ndarray, ...]:
     """Splits by the largest fall of the weighted variance (for 0/1 labels: of Gini impurity)."""
     n, f = binned.shape
     node, rows = np.zeros(n, np.int64), np.arange(n)
     feats, cuts = [], []
     ws, ys = np.repeat(w, f), np.repeat(w * y, f)
     column = np.arange(f) * BINS + binned
-    for level in range(DEPTH):
+    for level in range(depth):
         k = 1 << level
         code = (node[:, None] * (f * BINS) + column).ravel()
         cw = np.bincount(code, ws, k * f * BINS).reshape(k, f, BINS).cumsum(2)
@@ -58,37 +58,37 @@ def _tree(binned: np.ndarray, y: np.ndarray, w: np.ndarray, subset: int, rng) ->
         node = node * 2 + (binned[rows, feat[node]] > cut[node])
         feats.append(feat)
         cuts.append(cut)
-    size = np.bincount(node, w, 1 << DEPTH)
-    leaf = np.bincount(node, w * y, 1 << DEPTH) / np.maximum(size, 1e-9)
+    size = np.bincount(node, w, 1 << depth)
+    leaf = np.bincount(node, w * y, 1 << depth) / np.maximum(size, 1e-9)
     return np.concatenate(feats).astype(np.int8), np.concatenate(cuts).astype(np.int8), leaf
 
 
 def _walk(binned: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
     feats, cuts, leaf = tree
     node, rows, first = np.zeros(len(binned), np.int64), np.arange(len(binned)), 0
-    for level in range(DEPTH):
+    for level in range(len(leaf).bit_length() - 1):
         at = first + node
         node = node * 2 + (binned[rows, feats[at]] > cuts[at])
         first += 1 << level
     return leaf[node]
 
 
-def _forest(x: np.ndarray, y: np.ndarray, bootstrap: bool) -> dict:
+def _forest(x: np.ndarray, y: np.ndarray, bootstrap: bool, depth: int = DEPTH, trees: int = TREES) -> dict:
     rng, edges = np.random.default_rng(0), _edges(x)
     binned = _binned(x, edges)
     subset = int(np.ceil(np.sqrt(x.shape[1])))
-    weights = (rng.poisson(1.0, len(y)).astype(float) if bootstrap else np.ones(len(y)) for _ in range(TREES))
-    return {"kind": "forest", "edges": edges, "trees": [_tree(binned, y, w, subset, rng) for w in weights]}
+    weights = (rng.poisson(1.0, len(y)).astype(float) if bootstrap else np.ones(len(y)) for _ in range(trees))
+    return {"kind": "forest", "edges": edges, "trees": [_tree(binned, y, w, subset, rng, depth) for w in weights]}
 
 
-def _boosted(x: np.ndarray, y: np.ndarray) -> dict:
+def _boosted(x: np.ndarray, y: np.ndarray, depth: int = DEPTH, rounds: int = ROUNDS, step: float = STEP) -> dict:
     """Gradient boosting of the log loss on labels -1 and 1; the first tree has the full step."""
     edges, sign, ones = _edges(x), 2 * y - 1, np.ones(len(y))
     binned = _binned(x, edges)
     trees, total, want = [], np.zeros(len(y)), sign
-    for k in range(ROUNDS):
-        feats, cuts, leaf = _tree(binned, want, ones, x.shape[1], None)
-        trees.append((feats, cuts, leaf * (STEP if k else 1.0)))
+    for k in range(rounds):
+        feats, cuts, leaf = _tree(binned, want, ones, x.shape[1], None, depth)
+        trees.append((feats, cuts, leaf * (step if k else 1.0)))
         total += _walk(binned, trees[-1])
         want = 4 * sign / (1 + np.exp(np.clip(2 * sign * total, -500, 500)))
     return {"kind": "boosted", "edges": edges, "trees": trees}
@@ -191,20 +191,20 @@ def _mlp(x: np.ndarray, y: np.ndarray) -> dict:
     return {"kind": "mlp", "mean": mean, "spread": spread, "w": w, "sizes": sizes}
 
 
-FAMILIES: dict[str, Callable[[np.ndarray, np.ndarray], dict]] = {
-    "random_forest": lambda x, y: _forest(x, y, True),
-    "extra_trees": lambda x, y: _forest(x, y, False),
+FAMILIES: dict[str, Callable[..., dict]] = {  # parameters of a family are keyword arguments
+    "random_forest": lambda x, y, **p: _forest(x, y, True, **p),
+    "extra_trees": lambda x, y, **p: _forest(x, y, False, **p),
     "gradient_boosting": _boosted,
     "svm": _svm,
     "mlp": _mlp,
 }
 
 
-def fit(family: str, x: np.ndarray, y: np.ndarray) -> bytes:
+def fit(family: str, x: np.ndarray, y: np.ndarray, **parameters) -> bytes:
     """A model of 0/1 labels; without both classes it predicts the only one."""
     if not len(y) or y.min() == y.max():
         return pickle.dumps({"kind": "constant", "value": float(y[0]) if len(y) else 0.0})
-    return pickle.dumps(FAMILIES[family](x, y))
+    return pickle.dumps(FAMILIES[family](x, y, **parameters))
 
 
 def score(model: bytes, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

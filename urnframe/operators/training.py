@@ -206,21 +206,26 @@ def sequence_rows(windows: DataFrame, nexts: DataFrame, cuts: DataFrame) -> Data
     return split.select(*KEY, "segment", "next_numbers", F.flatten("window").alias("features"))
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
+def matrix(table: pa.Table) -> np.ndarray:
     column = table["features"].combine_chunks()
     return np.asarray(column.flatten(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def fit_sample(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """All training rows of a lottery, or about ``fit_rows`` with the lowest hashes where it has more."""
+    train = rows.where("segment = 'train'")
+    size = train.groupBy("lottery_id").agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64(*KEY), F.lit(1 << 32)) * F.col("_n") < F.lit(fit_rows << 32)
+    return with_dimension(train, size, "lottery_id").where((F.col("_n") <= fit_rows) | share)
+
+
 def fit_models(rows: DataFrame, models: DataFrame, family: str, fit_rows: int = FIT_ROWS) -> DataFrame:
     """One fitted model per (lottery, number) of ``models``.
 
     All models of a lottery are fitted on the same training draws: all of them, or about
     ``fit_rows`` with the lowest hashes where a lottery has more.
     """
-    train = rows.where("segment = 'train'")
-    size = train.groupBy("lottery_id").agg(F.count("*").alias("_n"))
-    share = F.pmod(F.xxhash64(*KEY), F.lit(1 << 32)) * F.col("_n") < F.lit(fit_rows << 32)
-    sample = with_dimension(train, size, "lottery_id").where((F.col("_n") <= fit_rows) | share)
+    sample = fit_sample(rows, fit_rows)
     label = F.array_contains("next_numbers", F.col("number"))
     # A left join: a target whose lottery has no training draw gets its constant model, too.
     labelled = models.select("lottery_id", "number").join(sample, "lottery_id", "left")
@@ -228,7 +233,7 @@ def fit_models(rows: DataFrame, models: DataFrame, family: str, fit_rows: int =
     def fitted(key, table):
         known = table.filter(pc.is_valid(table["label"])).sort_by("draw_number")
         y = np.asarray(known["label"]).astype(float)
-        model = classifiers.fit(family, _matrix(known), y)
+        model = classifiers.fit(family, matrix(known), y)
         lottery_id, number = (k.as_py() for k in key)
         columns = [pa.array([lottery_id], pa.int32()), pa.array([number], pa.int32()), pa.array([model], pa.binary())]
         return pa.Table.from_arrays(columns, ["lottery_id", "number", "model"])
@@ -251,7 +256,7 @@ def score_rows(rows: DataFrame, fitted: DataFrame, block: int = BLOCK_ROWS) -> D
     copies = fitted.join(size, "lottery_id").select("lottery_id", "number", "model", every.alias("block"))
 
     def scored(key, draws, models):
-        x, n = _matrix(draws), len(draws)
+        x, n = matrix(draws), len(draws)
         nexts = draws["next_numbers"].combine_chunks()
         of, flat = np.asarray(pc.list_parent_indices(nexts)), np.asarray(pc.list_flatten(nexts))
         parts = []

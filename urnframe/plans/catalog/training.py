@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from urnframe.functions.columns import rounded
-from urnframe.operators import features, lookup, metrics, neighbors, training
+from urnframe.operators import candidates, features, lookup, metrics, neighbors, training
 from urnframe.plans.catalog.features import FEATURES, GRID
 from urnframe.plans.registry import job
 from urnframe.session import checkpoint_frame
@@ -276,7 +276,11 @@ def _(t):
     return out.select("lottery_id", "draw_number", "first_draw", "segment")
 
 
-KNN = f"""{FEATURES}, {CUTS},
+K = 5
+
+
+def knn_sql(k: int) -> str:
+    return f"""{FEATURES}, {CUTS},
 vectors AS (
   SELECT f.*, f.draw_number <= c.cut AS is_train
   FROM feature_frame f JOIN cuts c ON c.lottery_id = f.lottery_id),
@@ -286,10 +290,13 @@ knn AS (
       SELECT e.lottery_id, e.draw_number, v.draw_number AS neighbor,
              round({" + ".join(f"(e.{c} - v.{c}) * (e.{c} - v.{c})" for c in features.FEATURE_ORDER)}, 9) AS d2
       FROM vectors e JOIN vectors v ON v.lottery_id = e.lottery_id AND v.is_train AND NOT e.is_train))
-  WHERE rank <= 5)"""
+  WHERE rank <= {k})"""
+
+
+KNN = knn_sql(K)
 
 
-def knn(t):
+def knn(t, k: int = K):
     vectors = checkpoint_frame(
         training.walk_forward_split(frame(t), training.default_cut(t.baskets))
     )
@@ -299,6 +306,7 @@ def knn(t):
     return neighbors.nearest(
         doubles.where("segment = 'train'").drop("segment"),
         doubles.where("segment = 'eval'").drop("segment"),
+        k,
     )
 
 
@@ -323,6 +331,51 @@ def _(t):
     return neighbors.knn_votes(knn(t), training.next_draw_targets(t.baskets))
 
 
+KS = [1, 2, 3, 5, 8]
+
+
+@job(
+    "evaluate_knn",
+    f"""{knn_sql(max(KS))}, nexts AS (
+      SELECT lottery_id, draw_number, lead(draw_number) OVER (PARTITION BY lottery_id ORDER BY draw_number) AS next_draw FROM baskets),
+    k AS (SELECT row_number() OVER () AS eval_num, k FROM (SELECT unnest({KS}) AS k)),
+    votes AS (
+      SELECT n.lottery_id, n.draw_number, m.number, k.eval_num, count(*) >= k.k / 2 AS said
+      FROM knn n JOIN k ON n.rank <= k.k JOIN nexts x ON x.draw_number = n.neighbor JOIN members m ON m.draw_number = x.next_draw
+      GROUP BY n.lottery_id, n.draw_number, m.number, k.eval_num, k.k),
+    asked AS (
+      SELECT DISTINCT n.lottery_id, n.draw_number, x.next_draw FROM knn n JOIN nexts x ON x.draw_number = n.draw_number
+      WHERE x.next_draw IS NOT NULL),
+    was AS (SELECT a.lottery_id, a.draw_number, m.number FROM asked a JOIN members m ON m.draw_number = a.next_draw),
+    per AS (
+      SELECT u.lottery_id, u.number, k.eval_num,
+             (SELECT count(*) FROM votes v JOIN asked a ON a.draw_number = v.draw_number
+              WHERE v.said AND v.lottery_id = u.lottery_id AND v.number = u.number AND v.eval_num = k.eval_num) AS said,
+             (SELECT count(*) FROM votes v JOIN was w ON w.draw_number = v.draw_number AND w.number = v.number
+              WHERE v.said AND v.lottery_id = u.lottery_id AND v.number = u.number AND v.eval_num = k.eval_num) AS hit,
+             (SELECT count(*) FROM was w WHERE w.lottery_id = u.lottery_id AND w.number = u.number) AS yes
+      FROM (SELECT DISTINCT lottery_id, number FROM numbers) u CROSS JOIN k)
+    SELECT lottery_id, eval_num, round(avg(CASE WHEN said + yes = 0 THEN 0 ELSE 2 * hit / (said + yes) END), 8) AS fitness
+    FROM per GROUP BY 1, 2""",
+)
+def _(t):
+    grid = F.posexplode(F.array(*map(F.lit, KS))).alias("_at", "k")
+    space = t.lottery.select("lottery_id", grid).select("lottery_id", (F.col("_at") + 1).cast("long").alias("eval_num"), "k")
+    found = checkpoint_frame(knn(t, max(KS)))
+    return candidates.evaluate_knn(found, training.next_numbers(t.baskets), space, training.targets_of(t.baskets))
+
+
+@job("evaluate_forest")
+def _(t):
+    """Depth and number of trees of a random forest, over every (lottery, number)."""
+    shapes = F.posexplode(F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(n).alias("trees")) for d, n in ((1, 5), (3, 5))]))
+    space = t.lottery.select("lottery_id", shapes.alias("_at", "s")).select(
+        "lottery_id", (F.col("_at") + 1).cast("long").alias("eval_num"), "s.depth", "s.trees"
+    )
+    rows = training.training_rows(frame(t), training.next_numbers(t.baskets), training.default_cut(t.baskets))
+    return candidates.evaluate_models(rows, training.targets_of(t.baskets), space, "random_forest", "accuracy")
+
+
 def model_metrics(scored):
     by = ["lottery_id", "number"]
     return metrics.classification_metrics(scored, by).join(metrics.roc_auc(scored, by), by)
