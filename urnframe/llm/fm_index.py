@@ -2,10 +2,14 @@
 
 A window is ``window`` consecutive words. Each window picks the least hash among its short runs of
 words as its anchor; equal windows pick equal anchors, so they meet in the shard of the anchor.
-Consecutive windows of one anchor form a segment. Segments whose content comes more than once are
-repeats as they stand. The others are streamed against the FM-index of their shard: backward
-search over a wavelet matrix gives matching statistics, and windows that the shard holds at least
-twice (once is the window itself) are repeats.
+Consecutive windows of one anchor form a segment. Each different segment of a shared anchor is entered
+once in the FM-index of its shard, with the number of its uses, and streamed against it: backward
+search over a wavelet matrix gives matching statistics, where an interval counts the uses of the
+segments that it lies in. Windows that are counted twice are repeats wherever their segment is used.
+
+An anchor with very many different segments is split by more context: windows in which the anchor lies
+late share the words before it, the others the words behind it. Halving the range of places again and
+again ends at windows that are equal as a whole, so every key is bounded and no window is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from urnframe.llm.text import BASE, U64, Words, mix, shingles, slices
 WINDOW = 35
 ANCHOR = 8  # words of the runs among which a window's anchor is chosen
 SHARD = 400_000  # words of a shard
-HOT = 4_000  # different segments of an anchor above which its windows are counted one by one
+HOT = 4_000  # different segments of a key above which it is split by more words around the anchor
 NEAR = 500_000  # texts whose keys may be broadcast; above, the same join is a shuffle
 _PLACE = 24
 
@@ -39,7 +43,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def segments_of(words: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Row, first word, number of windows, anchor hash and content hash of every segment."""
+    """Row, first word, number of windows, anchor hash, words before the anchor and content hash of every segment."""
     keys, n = words.key, len(words.key)
     parts = []
     step = 1 << (_PLACE - 1)
@@ -65,33 +69,34 @@ def segments_of(words: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tup
             continue
         ends = np.flatnonzero(inside & np.r_[(at[1:] != at[:-1]) | ~inside[1:] | (row[1 : len(at)] != row[: len(at) - 1]), True])
         count = ends - starts + 1
-        parts.append((row[starts], starts + base, count, gram[at[starts]]))
+        parts.append((row[starts], starts + base, count, gram[at[starts]], at[starts] - starts))
     if not parts:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    row, start, count, gram = (np.concatenate(x) for x in zip(*parts))
+        return none, none, none, np.zeros(0, np.uint64), none, np.zeros(0, np.uint64)
+    row, start, count, gram, ahead = (np.concatenate(x) for x in zip(*parts))
     up = np.cumprod(np.r_[U64(1), np.full(n, BASE, np.uint64)], dtype=np.uint64)
     down = np.cumprod(np.r_[U64(1), np.full(n, pow(BASE, -1, 2**64), np.uint64)], dtype=np.uint64)
     sums = np.r_[U64(0), np.cumsum(keys * up[:n], dtype=np.uint64)]
     end = start + count + window - 1
     content = mix((sums[end] - sums[start]) * down[start] + count.astype(np.uint64))
-    return row, start - first_word[row], count, gram, content
+    return row, start - first_word[row], count, gram, ahead, content
 
 
 def segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                row, start, count, gram, content = segments_of(Words(part["text"], lower=False), window, anchor)
+                row, start, count, gram, ahead, content = segments_of(Words(part["text"], lower=False), window, anchor)
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"].take(at), part["k"].take(at), part["m"].take(at), pa.array(start.astype(np.int32)),
-                     pa.array(count.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(content.view(np.int64))],
-                    ["doc_id", "k", "m", "start", "windows", "anchor", "content"],
+                     pa.array(count.astype(np.int32)), pa.array(ahead.astype(np.int32)), pa.array(gram.view(np.int64)),
+                     pa.array(content.view(np.int64))],
+                    ["doc_id", "k", "m", "start", "windows", "ahead", "anchor", "content"],
                 )
 
     return docs.mapInArrow(
-        run, "doc_id bigint, k bigint, m int, start int, windows int, anchor bigint, content bigint"
+        run, "doc_id bigint, k bigint, m int, start int, windows int, ahead int, anchor bigint, content bigint"
     )
 
 
@@ -126,9 +131,9 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Counts of word sequences in a set of texts, by backward search."""
+    """Counts of word sequences in a set of texts, by backward search; a text counts as often as it is used."""
 
-    def __init__(self, texts: list[np.ndarray]):
+    def __init__(self, texts: list[np.ndarray], uses: np.ndarray | None = None):
         lengths = np.array([len(t) for t in texts])
         words = np.concatenate(texts)
         self.names, number = np.unique(words, return_inverse=True)
@@ -145,6 +150,8 @@ class FMIndex:
         before = body[suffix - 1]
         self.body, self.first = body, np.r_[0, np.cumsum(np.bincount(body, minlength=len(self.names) + 1))]
         self.matrix = WaveletMatrix(before, len(self.names) + 1)
+        own = np.ones(len(texts), np.int64) if uses is None else uses
+        self.upto = np.r_[0, np.cumsum(np.repeat(own, lengths + 1)[suffix])]  # uses of the suffixes before a place
 
     @staticmethod
     def _sorted(key: np.ndarray, reach: int) -> np.ndarray:
@@ -165,7 +172,7 @@ class FMIndex:
 
     def statistics(self, text: np.ndarray, most: int, wanted: int = 2) -> np.ndarray:
         """For each place of ``text`` (symbols of ``body``), the length, up to ``most``, of the longest
-        run that ends there and that the texts hold ``wanted`` times."""
+        run that ends there and that the texts, by their uses, hold ``wanted`` times."""
         length = np.zeros(len(text), np.int64)
         live = np.arange(len(text))
         low, high = np.zeros(len(live), np.int64), np.full(len(live), len(self.body))
@@ -180,39 +187,33 @@ class FMIndex:
                 break
             low = self.first[symbol] + self.matrix.rank(symbol, low)
             high = self.first[symbol] + self.matrix.rank(symbol, high)
-            ok = high - low >= wanted
+            ok = self.upto[high] - self.upto[low] >= wanted
             live, low, high = live[ok], low[ok], high[ok]
             length[live] = k + 1
         return length
 
 
 def _search(window: int):
-    """Repeated windows of the streamed segments of each shard, as runs of words."""
+    """Repeated windows of the entries of each shard, as runs of words from the entry's beginning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs_of(batches, "shard"):
             part = part.combine_chunks()
-            contents = np.asarray(part["content"])
-            _, own = np.unique(contents, return_index=True)  # a segment is entered once
-            bodies = part["words"].to_pylist()
-            index = FMIndex([np.frombuffer(bodies[i], np.uint64) for i in own])
-            ask = np.asarray(part["asked"])[own]
-            starts = index.starts[ask]
-            rows = own[ask]
-            lengths = np.array([len(bodies[i]) // 8 for i in rows], np.int64)
-            if not len(rows):
+            bodies = [np.frombuffer(x, np.uint64) for x in part["words"].to_pylist()]
+            index = FMIndex(bodies, np.asarray(part["uses"]))
+            # every entry is asked; the body holds them one after the other
+            hit = np.flatnonzero(index.statistics(index.body, window) >= window)
+            if not len(hit):
                 continue
-            # the asked segments, each after a separator
-            place = np.concatenate([np.r_[-1, np.arange(s, s + n)] for s, n in zip(starts, lengths)])
-            text = np.where(place < 0, 0, index.body[np.maximum(place, 0)])
-            hit = np.flatnonzero(index.statistics(text, window) >= window)
-            offset = np.cumsum(lengths + 1) - lengths
-            of = np.searchsorted(offset, hit, "right") - 1
-            at = pa.array(rows[of])
-            begin = np.asarray(part["start"])[rows[of]] + hit - offset[of] - window + 1
+            of = np.searchsorted(index.starts, hit, "right") - 1
+            begin = hit - index.starts[of] - window + 1
+            first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (begin[1:] != begin[:-1] + 1)])
+            many = np.diff(np.r_[first, len(hit)])
+            at = pa.array(of[first])
             yield pa.RecordBatch.from_arrays(
-                [part["k"].combine_chunks().take(at), part["m"].combine_chunks().take(at), pa.array(begin.astype(np.int32)),
-                 pa.array(np.full(len(hit), window, np.int32))], ["k", "m", "start", "length"],
+                [part["key"].combine_chunks().take(at), part["piece"].combine_chunks().take(at),
+                 pa.array(begin[first].astype(np.int32)), pa.array((many + window - 1).astype(np.int32))],
+                ["key", "piece", "begin", "length"],
             )
 
     return run
@@ -220,9 +221,9 @@ def _search(window: int):
 
 def _contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The words of wanted segments, read from the texts that hold them."""
+    names = ["anchor", "content", "uses", "start", "windows", "ahead"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "content", "start", "windows", "asked", "hot"]
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part["text"], lower=False)
@@ -236,15 +237,12 @@ def _contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     words.key[bounds[r] + s : bounds[r] + s + n + window - 1].tobytes()
                     for r, s, n in zip(of, start, windows)
                 ]
-                at = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [part["k"].take(at), part["m"].take(at), *(columns[c] for c in names), pa.array(bodies, pa.binary())],
-                    ["k", "m", *names, "words"],
+                    [*(columns[c] for c in names if c != "start"), pa.array(bodies, pa.binary())],
+                    [*(c for c in names if c != "start"), "words"],
                 )
 
-    each = wanted.groupBy("k", "m", "doc_id").agg(
-        F.collect_list(F.struct("anchor", "content", "start", "windows", "asked", "hot")).alias("wanted")
-    )
+    each = wanted.groupBy("k", "m", "doc_id").agg(F.collect_list(F.struct(*names)).alias("wanted"))
     each = stored(each)
     nobody = F.lit(-(2**63))
     rows = docs.withColumn("doc_id", F.coalesce("doc_id", nobody))
@@ -252,28 +250,41 @@ def _contents(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
         near = F.broadcast(each.select("k", "m", "doc_id"))
         rows = rows.join(near, ["k", "m", "doc_id"], "left_semi")
     joined = rows.dropDuplicates(["k", "m", "doc_id"]).join(each, ["k", "m", "doc_id"])
-    return joined.select("k", "m", "text", "wanted").mapInArrow(
-        run,
-        "k bigint, m int, anchor bigint, content bigint, start int, windows int, asked boolean, hot boolean, words binary",
+    return joined.select("text", "wanted").mapInArrow(
+        run, "anchor bigint, content bigint, uses bigint, windows int, ahead int, words binary"
     )
 
 
-def _single_windows(window: int):
-    """Content hashes of the windows of segments, with their places."""
+PIECE = (
+    "anchor bigint, content bigint, key bigint, piece bigint, begin int, low int, windows int, ahead int, uses bigint, words binary"
+)
+
+
+def _split(window: int, width: int):
+    """Pieces whose anchor lies at ``low`` to ``low + width - 1`` words of a window, cut in two halves of places.
+
+    All windows of a half hold the same words around the anchor; these, with the key so far, are its key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [shingles(np.frombuffer(x, np.uint64), window) for x in batch["words"].to_pylist()]
-            count = [len(x) for x in keys]
-            at = np.repeat(np.arange(batch.num_rows), count)
-            place = np.concatenate([np.arange(n) for n in count]) if count else np.zeros(0, np.int64)
-            take = pa.array(at)
-            start = np.asarray(batch["start"])[at] + place
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch["k"].take(take), batch["m"].take(take), batch["asked"].take(take), pa.array(start.astype(np.int32)),
-                 pa.array(flat.view(np.int64))], ["k", "m", "asked", "start", "window"],
-            )
+            rows = []
+            half = width // 2
+            for r in batch.to_pylist():
+                words = np.frombuffer(r["words"], np.uint64)
+                late = int(min(r["windows"], max(0, r["ahead"] - r["low"] - half + 1)))  # windows with the anchor in the upper half
+                for skip, n, low, wide in ((0, late, r["low"] + half, width - half), (late, r["windows"] - late, r["low"], half)):
+                    if n > 0:
+                        ahead = r["ahead"] - skip
+                        own = words[skip : skip + n + window - 1]
+                        common = own[ahead - low : ahead - low - wide + 1 + window]
+                        name = lambda x, *more: int(shingles(np.r_[x, np.array(more, np.uint64)], len(x) + len(more))[0].view(np.int64))
+                        key = name(common, r["key"] % 2**64, low, wide)
+                        rows.append({
+                            **r, "key": key, "piece": name(own, ahead, n), "begin": r["begin"] + skip, "low": low, "windows": n,
+                            "ahead": ahead, "words": own.tobytes(),
+                        })
+            yield pa.RecordBatch.from_pylist(rows, batch.schema)
 
     return run
 
@@ -282,37 +293,48 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     """Runs of words (k, m, start, length) that are covered by repeated windows, by text."""
     keyed = _keyed(docs)
     found = stored(segments(keyed, window, anchor))
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    often = stored(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     shared = stored(found.join(often, "anchor", "left_semi"))
     nobody = F.lit(-(2**63))
-    kinds = stored(
-        shared.groupBy("anchor", "content").agg(
-            F.count(F.lit(1)).alias("uses"),
-            F.min(F.struct("k", "m", F.coalesce("doc_id", nobody).alias("doc_id"), "start", "windows")).alias("one"),
-        )
-    )
-    anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), F.min("uses").alias("fewest"))
-    asked = anchors.where("different > 1 and fewest = 1").select("anchor", (F.col("different") > HOT).alias("hot"))
-    wanted = kinds.join(asked, "anchor").select(
-        "anchor", "content", "hot", (F.col("uses") == 1).alias("asked"), "one.*"
+    kinds = shared.groupBy("anchor", "content").agg(
+        F.count(F.lit(1)).alias("uses"),
+        F.min(F.struct("k", "m", F.coalesce("doc_id", nobody).alias("doc_id"), "start", "windows", "ahead")).alias("one"),
     )
-    texts = stored(_contents(keyed, wanted, window))
-    whole = (
-        shared.join(kinds.where("uses > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
-        .select("k", "m", "start", (F.col("windows") + window - 1).alias("length"))
-        .distinct()
-    )
-    size = texts.where("not hot").agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 8
+    texts = _contents(keyed, stored(kinds.select("anchor", "content", "uses", "one.*")), window)
+    now = stored(texts.select(
+        "anchor", "content", F.col("anchor").alias("key"), F.col("content").alias("piece"), F.lit(0).alias("begin"),
+        F.lit(0).alias("low"), "windows", "ahead", "uses", "words",
+    ))
+    entries, deep, width = None, None, window - anchor + 1
+    while True:
+        # equal pieces of split segments are one entry with all their uses
+        own = now if entries is None else now.groupBy("key", "piece").agg(F.sum("uses").alias("uses"), F.min("words").alias("words"))
+        own = own.select("key", "piece", "uses", "words")
+        hot = stored(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"))
+        last = width == 1 or hot.isEmpty()
+        kept = own if last else own.join(hot, "key", "left_anti")
+        entries = kept if entries is None else entries.unionByName(kept)
+        if last:
+            break
+        split = now.join(hot, "key", "left_semi").select(*now.columns)
+        now = stored(split.mapInArrow(_split(window, width), PIECE))
+        deep = now if deep is None else deep.unionByName(now)
+        width -= width // 2
+    entries = stored(entries)
+    size = entries.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // 8
     shards = max(1, -(-size // SHARD))
-    dealt = texts.where("not hot").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    part = "k bigint, m int, start int, length int"
-    matched = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(window), part)
-    single = stored(texts.where("hot").mapInArrow(_single_windows(window), "k bigint, m int, asked boolean, start int, window bigint"))
-    twice = single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    common = single.where("asked").join(twice, "window", "left_semi").select(
-        "k", "m", "start", F.lit(window).cast("int").alias("length")
+    dealt = entries.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    runs = stored(
+        dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(
+            _search(window), "key bigint, piece bigint, begin int, length int"
+        )
     )
-    return whole.unionByName(matched).unionByName(common)
+    whole = runs.select(F.col("key").alias("anchor"), F.col("piece").alias("content"), "begin", "length")
+    if deep is not None:
+        placed = deep.select("anchor", "content", "key", "piece", F.col("begin").alias("_at"))
+        inner = placed.join(runs, ["key", "piece"]).select("anchor", "content", (F.col("_at") + F.col("begin")).alias("begin"), "length")
+        whole = stored(whole.unionByName(inner))
+    return shared.join(whole, ["anchor", "content"]).select("k", "m", (F.col("start") + F.col("begin")).alias("start"), "length").distinct()
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
