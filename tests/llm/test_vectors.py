@@ -1,6 +1,7 @@
 """Multi-index search against brute force."""
 
 import numpy as np
+import pytest
 
 from urnframe.llm import multi_index
 
@@ -31,6 +32,39 @@ def test_search_finds_neighbours(spark):
     assert hits >= 0.9 * 10 * len(asked)
 
 
+@pytest.mark.parametrize("block", [40, 4096])
+def test_measured_budget_follows_the_data(spark, block):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16)) * 6
+    x = (centres[rng.integers(0, 40, 1500)] + rng.normal(size=(1500, 16))).astype(np.float32).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    asked = vectors.where("vec_id % 20 = 0")
+    got = {}
+    for r in multi_index.search(vectors, asked, k=10, block=block).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 1500, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.lexsort((np.arange(1500), -score))[:10].tolist()))
+    assert hits >= 0.9 * 10 * 75
+    entries = multi_index.clean(vectors)
+    books = multi_index.fit(entries, 12)
+    entered = multi_index.with_cells(entries, books)
+    sizes = np.zeros(144, np.int64)
+    for r in entered.groupBy("cell").count().collect():
+        sizes[r["cell"]] = r["count"]
+    share = multi_index.measured_budget(entered, multi_index.clean(asked), books, sizes, 10)
+    assert 0 < share < 0.4  # clustered data need little
+
+
+def test_buckets_hold_whole_cells():
+    sizes = np.array([3, 0, 9, 50, 1, 1, 30, 2])
+    bucket, parts = multi_index.buckets_of(sizes, 4, 10)
+    assert bucket.tolist() == [0, 0, 1, 2, 3, 3, 4, 5] and parts.tolist() == [1, 1, 5, 1, 3, 1]
+
+
 def test_few_vectors(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (1, [0.5, 1.0])], "vec_id bigint, embedding array<float>")
     got = multi_index.search(two, two.where("vec_id = 0")).collect()
