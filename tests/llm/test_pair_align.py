@@ -81,9 +81,8 @@ def _rows():
     return rows + [(706, "long text " * 4000)]
 
 
-@pytest.mark.parametrize("size,fan,segment", [(pair_align.BLOCK, pair_align.FAN, pair_align.SEGMENT), (2000, 3, 11)])
-def test_alignment_equals_whole_texts(spark, libraries, size, fan, segment, monkeypatch):
-    monkeypatch.setattr(pair_align, "SEGMENT", segment)
+@pytest.mark.parametrize("size,fan", [(pair_align.BLOCK, pair_align.FAN), (2000, 3)])
+def test_alignment_equals_whole_texts(spark, libraries, size, fan, monkeypatch):
     monkeypatch.setattr(pair_align, "parts_for", lambda docs, each: 5)
     rows = _rows()
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, cell int, block string").repartition(3)
@@ -92,13 +91,16 @@ def test_alignment_equals_whole_texts(spark, libraries, size, fan, segment, monk
     assert pair_align.align(docs.limit(0)).count() == 0
 
 
-def test_unit_patterns_cover_texts():
+def test_units_make_up_texts():
     rng = random.Random(5)
-    for _ in range(2000):
-        text = " " + "".join(rng.choices(" \n\tab　\x1c", k=rng.randint(0, 14)))
-        units = pair_align.UNIT.findall(text)
-        assert "".join(units) == text and all(u.startswith(" ") for u in units)
-        assert all(not p[-1].isspace() for p in units[:-1])
+    own = pair_align.Aligner()
+    texts = [None, ""] + ["".join(rng.choices(" \n\tab　\x1cé!", k=rng.randint(1, 14))) for _ in range(2000)]
+    codes, bounds = own.units(texts, False)
+    names = {c: u for u, c in own.code.items()}
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        units = [names[c] for c in codes[a:b]]
+        assert "".join(units) == (" " + text if text else "") and all(u.startswith(" ") for u in units)
+        assert all("!" <= p[-1] <= "~" for p in units[:-1])
 
 
 def test_minimal_hash_is_perfect():

@@ -6,10 +6,10 @@ minimal perfect hash of its different pairs; counts become dense vectors indexed
 are summed as a tree: within branches of blocks, then over branches. Keys are kept in hash order, so
 that every lookup is verified. The second pass aligns the documents again and reads the counts.
 
-Why texts may be cut into units first. A unit begins at a blank that follows a character other than
-white space. The pattern of vocabulary A never puts a character other than white space and a
-following blank into one piece, and no piece of vocabulary B holds a blank behind another character,
-so no merge of either crosses such a place. Units are aligned once and remembered.
+Why texts may be cut into units first. A unit begins at a blank that follows a visible ASCII character.
+The pattern of vocabulary A never puts a character other than white space and a following blank into
+one piece, and no piece of vocabulary B holds a blank behind another character, so no merge of either
+crosses such a place. Units are aligned once and remembered.
 """
 
 from __future__ import annotations
@@ -27,16 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urnframe.llm.store import parts_for, stored, table
-from urnframe.llm.text import U64, mix, slices
+from urnframe.llm.text import U64, mix, raw, slices
 
 BLOCK = 8 << 20  # bytes of text in a block of documents; a longer text is a block of its own
 CELL = 32 << 20  # bytes of input files that make one cell
 CELLS = 1 << 14  # at most: 50,257 x 32,000 ids make fewer than 100,000 pairs for each of so many cells
 FAN = 4096  # blocks of a branch
-UNITS = 400_000  # units that a Python process remembers
-SEGMENT = 1 << 22  # characters of a text that are cut into units at a time
-UNIT = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+")
-EDGE = re.compile(r"\S(?= )")
+UNITS = 600_000  # units that a Python process remembers
 SPACE = "▁"
 
 
@@ -93,7 +90,7 @@ class Aligner:
 
         with open(path(f"{a}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, lines)}
-        self.a = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.a = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.b = sentencepiece.SentencePieceProcessor(model_file=path(f"{b}.model"))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         byte = re.compile("<0x([0-9A-F]{2})>")
@@ -118,16 +115,20 @@ class Aligner:
         self.links = np.zeros(0, np.uint64)
         self.first = np.zeros(1, np.int64)
 
-    def _encode(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of all units in a row and how many each has, under both vocabularies."""
-        a = list(map(self.a.encode_ordinary, units))
-        b = self.b.encode([u[1:] for u in units], num_threads=1) if units else []
-        b = [x if len(u) > 1 else self.blank for u, x in zip(units, b)]
-        out = []
-        for lists in (a, b):
-            n = np.fromiter(map(len, lists), np.int64, len(lists))
-            out.append((np.fromiter(chain.from_iterable(lists), np.int64, n.sum()), n))
-        return out
+    def _encode(self, units: list[str], joined: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of all units in a row and how many each has, under both vocabularies.
+
+        The first ``joined`` units end with a visible character, so A may read them as one text.
+        """
+        ids = np.array(self.a("".join(units[:joined])) if joined else [], np.int64)
+        sizes = np.cumsum(list(map(len, map(str.encode, units[:joined]))), dtype=np.int64)
+        n = np.diff(np.searchsorted(np.cumsum(self.size_a[ids]), sizes, "right"), prepend=0)
+        rest = [self.a(u) for u in units[joined:]]
+        a = np.concatenate([ids, np.fromiter(chain.from_iterable(rest), np.int64)]), np.concatenate([n, np.array(list(map(len, rest)), np.int64)])
+        lists = self.b.encode([u[1:] for u in units], num_threads=1) if units else []
+        lists = [x if len(u) > 1 else self.blank for u, x in zip(units, lists)]
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        return [a, (np.fromiter(chain.from_iterable(lists), np.int64, n.sum()), n)]
 
     def _fits(self, units: list[str], ids: np.ndarray, n: np.ndarray, pieces: list[bytes], sizes: np.ndarray) -> np.ndarray:
         """Whether the tokens of each unit spell it."""
@@ -139,9 +140,11 @@ class Aligner:
         at = np.cumsum(n) - n
         return np.array([b"".join(spelt[i : i + k]) == r for i, k, r in zip(at.tolist(), n.tolist(), raw)], bool)
 
-    def _learn(self, units: list[str], texts: bool) -> None:
+    def _learn(self, units: list[str], joined: int, texts: bool) -> None:
         """Align new units; their codes follow those of the known ones."""
-        (a, n_a), (b, n_b) = self._encode(units)
+        for u in units:
+            self.code[u] = len(self.code)
+        (a, n_a), (b, n_b) = self._encode(units, joined)
         ok = self._fits(units, a, n_a, self.bytes_a, self.size_a) & self._fits(units, b, n_b, self.bytes_b, self.size_b)
         if not ok.all():
             a, b = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)]
@@ -165,20 +168,6 @@ class Aligner:
         self.links = np.concatenate([self.links, links])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n_links)])
 
-    def _codes(self, text: str) -> np.ndarray:
-        out, at = [], 0
-        while at < len(text):
-            edge = EDGE.search(text, at + SEGMENT) if self.cuts else None
-            end = edge.end() if edge else len(text)
-            units = UNIT.findall(text[at:end]) if self.cuts else [text]
-            fresh = [u for u in set(units) if u not in self.code]
-            for u in fresh:
-                self.code[u] = len(self.code)
-            self.fresh += fresh
-            out.append(np.fromiter(map(self.code.__getitem__, units), np.int64, len(units)))
-            at = end
-        return np.concatenate(out)
-
     def units(self, texts: list[str | None], groups: bool) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the units of all texts, and where each text begins and ends in them.
 
@@ -188,20 +177,32 @@ class Aligner:
         if len(self.code) > UNITS or groups != self.grouped:
             self.forget()
         self.grouped = groups
-        self.fresh: list[str] = []
-        codes = [self._codes(" " + t) if t else np.zeros(0, np.int64) for t in texts]
-        if self.fresh:
-            self._learn(self.fresh, groups)
-        for i, own in enumerate(codes):
-            if len(own) and not self.table[own, 0].all():
-                codes[i] = self._whole(" " + texts[i])
-        return np.concatenate([*codes, np.zeros(0, np.int64)]), np.cumsum([0, *map(len, codes)])
+        data, bounds = raw(pa.array([" " + t if t else "" for t in texts], pa.string()))
+        cut = np.zeros(len(data), bool)
+        if self.cuts:
+            cut[1:] = (data[1:] == 32) & (data[:-1] > 32) & (data[:-1] < 127)
+        cut[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        start = np.flatnonzero(cut)
+        offsets = pa.py_buffer(np.append(start, len(data)).astype(np.int32))
+        known = pa.StringArray.from_buffers(len(start), offsets, pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        names = known.dictionary.to_pylist()
+        fresh = [u for u in names if u not in self.code]
+        if fresh:
+            ends = [u for u in fresh if not "!" <= u[-1] <= "~"]  # ends of texts
+            main = [u for u in fresh if "!" <= u[-1] <= "~"]
+            self._learn(main + ends, len(main), groups)
+        codes = np.fromiter(map(self.code.__getitem__, names), np.int64, len(names))[np.asarray(known.indices)]
+        bounds = np.searchsorted(start, bounds)
+        if self.table[codes, 0].all():
+            return codes, bounds
+        each = np.split(codes, bounds[1:-1])
+        each = [self._whole(" " + t) if len(own) and not self.table[own, 0].all() else own for t, own in zip(texts, each)]
+        return np.concatenate(each), np.cumsum([0, *map(len, each)])
 
     def _whole(self, text: str) -> np.ndarray:
         """A text as one unit, if its tokens spell it."""
         if text not in self.code:
-            self.code[text] = len(self.code)
-            self._learn([text], self.grouped)
+            self._learn([text], 0, self.grouped)
         own = np.array([self.code[text]])
         return own if self.table[own[0], 0] else own[:0]
 
