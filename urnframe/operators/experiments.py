@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urnframe.functions.columns import rounded
-from urnframe.plans.series import running
+from urnframe.plans.series import dense_index, running
 
 RUN = ["lottery_id", "engine_type", "snapshot_id", "model_id"]
 
@@ -35,17 +35,17 @@ def merge_duplicate_metrics(metrics: DataFrame, fold: bool = False) -> DataFrame
     """One value per run and metric name: the mean, or with ``fold`` the pairwise running mean.
 
     The pairwise fold (a + b) / 2 in ``seq`` order gives the i-th of n values the weight
-    2**-(n - i + 1), the first 2**-(n - 1). Every value is weighed; a group is only numbered and
-    summed, never gathered.
+    2**-(n - i + 1), the first 2**-(n - 1). Every value is weighed; a group is numbered in chunks of
+    the whole number ``seq``, unique in its group, and summed, never gathered.
     """
     keys = [*RUN, "metric_name"]
     if not fold:
         return metrics.groupBy(*keys).agg(F.avg("value").alias("value"))
-    newest = W.partitionBy(*keys).orderBy(F.desc("seq"))
-    recent = metrics.withColumn("_r", F.row_number().over(newest))
+    placed = dense_index(metrics, keys, "seq", "_i")
     size = metrics.groupBy(*keys).agg(F.count("*").alias("_n"))
     power = F.when(F.col("_r") == F.col("_n"), F.col("_n") - 1).otherwise(F.col("_r"))
-    weighed = recent.join(size, keys).withColumn("_w", F.col("value") * F.pow(F.lit(2.0), -power))
+    recent = placed.join(size, keys).withColumn("_r", F.col("_n") - F.col("_i"))  # 1 is the newest
+    weighed = recent.withColumn("_w", F.col("value") * F.pow(F.lit(2.0), -power))
     return weighed.groupBy(*keys).agg(F.sum("_w").alias("value"))
 
 

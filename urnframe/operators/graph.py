@@ -268,7 +268,7 @@ def communities(edges: DataFrame) -> DataFrame:
         )
         if not merges:
             break
-        member = relabel(member, merged, "c")
+        member = checkpoint_frame(relabel(member, merged, "c"))
         links = checkpoint_frame(
             relabel(relabel(links, merged, "src"), merged, "dst")
             .groupBy("lottery_id", "src", "dst")

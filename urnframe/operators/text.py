@@ -168,7 +168,7 @@ def explain_sentence(
     )
     sentence = F.concat(
         F.format_string(
-            "Análisis de resultados de %s: el número más frecuente es %d (%d) y el menos frecuente es %d (%d).",
+            "Lottery %s: drawn most %d (%d times), drawn least %d (%d times)",
             "code",
             "hottest",
             "max_count",
@@ -177,7 +177,7 @@ def explain_sentence(
         ),
         F.coalesce(
             F.format_string(
-                " el hueco mayor es %d (%s) y el menor es %d (%s).",
+                "; longest mean gap %d (%s), shortest %d (%s)",
                 "widest",
                 plain_number(F.col("widest_avg")),
                 "tightest",
@@ -185,12 +185,9 @@ def explain_sentence(
             ),
             F.lit(""),
         ),
-        F.lit(" el promedio de jackpot es "),
+        F.lit("; mean jackpot "),
         or_missing(F.col("mean")),
+        F.coalesce(F.concat(F.lit("; entropy "), plain_number(F.col("entropy")), F.lit(" bits")), F.lit("")),
         F.lit("."),
-        F.coalesce(
-            F.concat(F.lit(" la entropía es "), plain_number(F.col("entropy")), F.lit(".")),
-            F.lit(""),
-        ),
     )
     return joined.select("lottery_id", sentence.alias("sentence"))

@@ -91,10 +91,9 @@ def _(t):
       FROM (SELECT *, row_number() OVER (PARTITION BY lottery_id ORDER BY gap_avg DESC, number) AS hi,
                    row_number() OVER (PARTITION BY lottery_id ORDER BY gap_avg, number) AS lo
             FROM gaps WHERE gap_avg IS NOT NULL) GROUP BY 1)
-    SELECT l.lottery_id, concat('Análisis de resultados de ', code, ': el número más frecuente es ', hottest, ' (', max_count,
-      ') y el menos frecuente es ', coldest, ' (', min_count, ').', ' el hueco mayor es ', widest, ' (', {_plain("widest_avg")},
-      ') y el menor es ', tightest, ' (', {_plain("tightest_avg")}, ').', ' el promedio de jackpot es ', {_plain("mean")}, '.',
-      ' la entropía es ', {_plain("entropy")}, '.') AS sentence
+    SELECT l.lottery_id, concat('Lottery ', code, ': drawn most ', hottest, ' (', max_count, ' times), drawn least ', coldest,
+      ' (', min_count, ' times)', '; longest mean gap ', widest, ' (', {_plain("widest_avg")}, '), shortest ', tightest, ' (',
+      {_plain("tightest_avg")}, ')', '; mean jackpot ', {_plain("mean")}, '; entropy ', {_plain("entropy")}, ' bits.') AS sentence
     FROM lottery l JOIN hot h ON h.lottery_id = l.lottery_id JOIN wide w ON w.lottery_id = l.lottery_id
     JOIN averages a ON a.lottery_id = l.lottery_id AND a.series = 'jackpot' JOIN entropies e ON e.lottery_id = l.lottery_id""",
 )
