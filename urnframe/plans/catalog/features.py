@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from urnframe.functions.columns import rounded
-from urnframe.operators import features, graph, lookup, stats
+from urnframe.operators import feature_graph, features, graph, lookup, stats
 from urnframe.plans.catalog.statistics import FREQ, PAIRS
 from urnframe.plans.registry import job
 
@@ -167,3 +167,20 @@ def _(t):
         stats.frequency(t.numbers), graph.cooccurrence(t.baskets), stats.draw_scope(t.baskets)
     )
     return out.withColumn("correlation", rounded("correlation"))
+
+
+@job(
+    "feature_registry",
+    f"""{BASKET}, changed AS (
+      SELECT lottery_id, draw_number, s, r, c, s - lag(s) OVER (PARTITION BY lottery_id ORDER BY draw_number) AS sum_change FROM basket)
+    SELECT lottery_id, draw_number, r AS draw_range, sum_change, round(sum_change / s, 12) AS change_share,
+           round(sum_change / s / CASE WHEN r <> 0 THEN r END, 12) AS change_by_range FROM changed""",
+)
+def _(t):
+    """Features that build on others: registered in any order, built in the order of their needs."""
+    own = feature_graph.standard()
+    own.add("change_by_range", feature_graph.share_of("change_share", "draw_range"), ["change_share", "draw_range"])
+    own.add("change_share", feature_graph.share_of("sum_change", "draw_sum"), ["sum_change", "draw_sum"])
+    own.add("sum_change", feature_graph.change_of("draw_sum", "sum_change"), ["draw_sum"], series=True)
+    out = own.frame(t.baskets, t.lottery, ["draw_range", "sum_change", "change_share", "change_by_range"])
+    return out.withColumn("change_share", rounded("change_share", 12)).withColumn("change_by_range", rounded("change_by_range", 12))
