@@ -3,9 +3,10 @@
 A window is ``window`` consecutive words. Each window picks the least hash among its short runs of
 words as its anchor; equal windows pick equal anchors, so they meet in the shard of the anchor.
 Consecutive windows of one anchor form a segment. Each different segment of a shared anchor is entered
-once in the FM-index of its shard, with the number of its uses, and streamed against it: backward
-search over a wavelet matrix gives matching statistics, where an interval counts the uses of the
-segments that it lies in. Windows that are counted twice are repeats wherever their segment is used.
+once in the FM-index of its shard, with the number of its uses. What is used twice is repeated as a
+whole; the others are streamed against the index: backward search over a wavelet matrix gives matching
+statistics, where an interval counts the uses of the segments that it lies in. Windows that are
+counted twice are repeats wherever their segment is used.
 
 An anchor with very many different segments is split by more context: windows in which the anchor lies
 late share the words before it, the others the words behind it. Halving the range of places again and
@@ -194,25 +195,39 @@ class FMIndex:
 
 
 def _search(window: int):
-    """Repeated windows of the entries of each shard, as runs of words from the entry's beginning."""
+    """Repeated windows of the entries of each shard, as runs of words from the entry's beginning.
+
+    All entries are in the index. An entry that is used twice is counted twice as a whole by its own
+    uses; the others are streamed against the index.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs_of(batches, "shard"):
             part = part.combine_chunks()
             bodies = [np.frombuffer(x, np.uint64) for x in part["words"].to_pylist()]
-            index = FMIndex(bodies, np.asarray(part["uses"]))
-            # every entry is asked; the body holds them one after the other
-            hit = np.flatnonzero(index.statistics(index.body, window) >= window)
-            if not len(hit):
-                continue
-            of = np.searchsorted(index.starts, hit, "right") - 1
-            begin = hit - index.starts[of] - window + 1
-            first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (begin[1:] != begin[:-1] + 1)])
-            many = np.diff(np.r_[first, len(hit)])
-            at = pa.array(of[first])
+            lengths = np.array(list(map(len, bodies)), np.int64)
+            uses = np.asarray(part["uses"])
+            index = FMIndex(bodies, uses)
+            ask = np.flatnonzero(uses == 1)
+            of = start = many = np.zeros(0, np.int64)
+            if len(ask):
+                # the asked entries, each behind a separator
+                offset = np.cumsum(lengths[ask] + 1) - lengths[ask]
+                place = np.arange(offset[-1] + lengths[ask[-1]]) - np.repeat(offset - index.starts[ask], lengths[ask] + 1)
+                text = index.body[np.maximum(place, 0)]
+                text[offset - 1] = 0
+                hit = np.flatnonzero(index.statistics(text, window) >= window)
+                at = np.searchsorted(offset, hit, "right") - 1
+                begin = hit - offset[at] - window + 1
+                first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (begin[1:] != begin[:-1] + 1)]) if len(hit) else hit
+                of, start = ask[at[first]], begin[first]
+                many = np.diff(np.r_[first, len(hit)]) + window - 1 if len(hit) else hit
+            often = np.flatnonzero(uses > 1)
+            rows = pa.array(np.r_[often, of])
             yield pa.RecordBatch.from_arrays(
-                [part["key"].combine_chunks().take(at), part["piece"].combine_chunks().take(at),
-                 pa.array(begin[first].astype(np.int32)), pa.array((many + window - 1).astype(np.int32))],
+                [part["key"].combine_chunks().take(rows), part["piece"].combine_chunks().take(rows),
+                 pa.array(np.r_[np.zeros(len(often), np.int64), start].astype(np.int32)),
+                 pa.array(np.r_[lengths[often], many].astype(np.int32))],
                 ["key", "piece", "begin", "length"],
             )
 
