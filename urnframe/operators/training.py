@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urnframe.operators import classifiers
-from urnframe.operators.features import FEATURE_ORDER, number_grid
+from urnframe.operators.features import FEATURE_ORDER, running_frequencies
 from urnframe.plans.joins import with_dimension
 from urnframe.plans.series import framed, running
 from urnframe.session import checkpoint_frame
@@ -66,21 +66,36 @@ def next_draw_targets(baskets: DataFrame) -> DataFrame:
     )
 
 
-def frequency_scores(baskets: DataFrame) -> DataFrame:
-    """Score of every (draw, number): share of the draws so far holding the number."""
+def counted_draws(baskets: DataFrame) -> DataFrame:
+    """Every labelled draw with the counts so far of all numbers of its lottery, one row per draw."""
     rows = with_next(baskets.select(*KEY, "numbers"))
-    grid = number_grid(rows, keep=["idx", "next_numbers"])
-    label = F.array_contains(F.col("next_numbers"), F.col("number")).cast("int")
-    slim = grid.select(*KEY, "idx", "number", "hit", label.alias("label"))
-    counted = running(
-        slim, ["lottery_id", "number"], "draw_number", {"_f": ("sum", F.col("hit"))}
+    counted = running_frequencies(rows, keep=["idx", "next_numbers"])
+    return counted.where(F.col("next_numbers").isNotNull()).drop("numbers")
+
+
+def score_counts(counted: DataFrame) -> DataFrame:
+    """The rows of :func:`frequency_scores` of ``counted`` draws; nothing is shuffled."""
+    every = counted.select(
+        *KEY, "idx", "next_numbers", F.explode(F.arrays_zip("seen_numbers", "frequencies")).alias("c")
     )
-    score = F.col("_f") / (F.col("idx") + 1)
-    return counted.where(F.col("label").isNotNull()).select(
-        *KEY, "idx", "number", F.col("_f").alias("seen"), score.alias("score"), "label"
+    number, seen = F.col("c.seen_numbers"), F.col("c.frequencies")
+    label = F.array_contains(F.col("next_numbers"), number).cast("int")
+    return every.select(
+        *KEY, "idx", number.alias("number"), seen.alias("seen"), (seen / (F.col("idx") + 1)).alias("score"), label.alias("label")
     )
 
 
+def frequency_scores(baskets: DataFrame) -> DataFrame:
+    """Score of every (draw, number): share of the draws so far holding the number."""
+    return score_counts(counted_draws(baskets))
+
+
+def held_out_draws(baskets: DataFrame) -> DataFrame:
+    """The counted draws after the cut of their lottery; they are told apart before numbers are spread."""
+    split = walk_forward_split(counted_draws(baskets), default_cut(baskets))
+    return split.where("segment = 'eval'").drop("segment", "cut")
+
+
 def default_cut(baskets: DataFrame) -> DataFrame:
     """Per lottery the draw number that ends the first four fifths of its labelled draws."""
     indexed = running(

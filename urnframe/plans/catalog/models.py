@@ -65,16 +65,14 @@ def candidates(t):
     return search.sample_candidates(t.lottery.select("lottery_id"), SPACE, BUDGET, SEED)
 
 
-def searched(t):
-    scored = training.frequency_scores(t.baskets)
-    held_out = training.walk_forward_split(scored, training.default_cut(t.baskets)).where(
-        "segment = 'eval'"
+def searched(t, held_out=None):
+    draws = training.held_out_draws(t.baskets) if held_out is None else held_out
+    # A state is a row: candidates are judged where it lies and only their counts are shuffled.
+    states = training.score_counts(draws).select(
+        "lottery_id", "seen", (F.col("idx") + 1).alias("draws"), "label", F.lit(1).cast("long").alias("n")
     )
-    counted = held_out.groupBy(
-        "lottery_id", "seen", (F.col("idx") + 1).alias("draws"), "label"
-    ).agg(F.count("*").alias("n"))
     prior = F.col("numbers_to_select") / (F.col("max_number") - F.col("min_number") + 1)
-    ruled = counted.join(t.lottery.select("lottery_id", prior.alias("prior")), "lottery_id")
+    ruled = states.join(t.lottery.select("lottery_id", prior.alias("prior")), "lottery_id")
     return search.evaluate_candidates(ruled, candidates(t))
 
 
@@ -180,7 +178,8 @@ def engine_rows(t):
         "metric_name",
         rounded("value").alias("value"),
     )
-    held_out = checkpoint_frame(predictions(t).select("lottery_id", "number", "label", "score", "prediction"))
+    counted = checkpoint_frame(training.held_out_draws(t.baskets))
+    held_out = predictions(t, counted)
 
     def labelled(rows, zero: float, code: int, model: str):
         wide = metrics.classification_metrics(rows, ["lottery_id", "number"], zero)
@@ -194,7 +193,7 @@ def engine_rows(t):
         )
 
     strict = held_out.withColumn("prediction", (F.col("score") >= 0.09).cast("int"))
-    opt = search.best_candidate(searched(t)).select(
+    opt = search.best_candidate(searched(t, counted)).select(
         "lottery_id",
         (F.col("lottery_id") * 10 + 4).alias("snapshot_id"),
         F.lit("random").alias("model_id"),

@@ -52,11 +52,10 @@ def metric_sql(zero: float, predictions: str = "predictions", name: str = "per_n
 NAMES = ["accuracy", "precision", "recall", "f1"]
 
 
-def predictions(t):
-    scored = training.frequency_scores(t.baskets)
-    split = training.walk_forward_split(scored, training.default_cut(t.baskets))
-    held_out = split.where("segment = 'eval'")
-    return held_out.withColumn("prediction", (F.col("score") >= THRESHOLD).cast("int"))
+def predictions(t, held_out=None):
+    """Scored and judged rows of the evaluation draws; ``held_out`` may hold them counted already."""
+    scored = training.score_counts(training.held_out_draws(t.baskets) if held_out is None else held_out)
+    return scored.withColumn("prediction", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def six(df, *names):
