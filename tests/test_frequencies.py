@@ -36,3 +36,19 @@ def test_numbers_are_spread_behind_the_last_shuffle(spark):
         plan = plan_of(df).split("FlatMapCoGroupsInArrow")[0]
         assert "Generate" in plan and "hashpartitioning" not in plan
     assert "collect_list" not in plan_of(features.current_frequency_map(baskets)).split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_trapezoid_auc_shuffles_its_rows_once(spark):
+    rng = random.Random(5)
+    rows = [(m, i * 40000, rng.randint(0, 1), rng.choice((0.5, 0.25, rng.random()))) for m in ("a", "b") for i in range(80)]
+    df = spark.createDataFrame(rows, "model string, draw_number bigint, label int, score double")
+    got = {r.model: r.roc_auc for r in metrics.trapezoid_auc(df, ["model"]).collect()}
+    for m in ("a", "b"):
+        mine = sorted(((-s, d, y) for x, d, y, s in rows if x == m))
+        ahead, area, q = 0, 0, 0
+        for _, _, y in mine:
+            ahead, area, q = ahead + y, area + (0 if y else ahead), q + 1 - y
+        assert got[m] == pytest.approx(area / (ahead * q))
+    plan = plan_of(metrics.trapezoid_auc(df, ["model"]))
+    # before, rows met their carries in joins on the score
+    assert "_k" not in "".join(line for line in plan.splitlines() if "Join" in line)
