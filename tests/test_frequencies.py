@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from urnframe.operators import features, metrics, training
+from urnframe.operators import extras, features, metrics, training
 
 
 def plan_of(df):
@@ -52,3 +52,14 @@ def test_trapezoid_auc_shuffles_its_rows_once(spark):
     plan = plan_of(metrics.trapezoid_auc(df, ["model"]))
     # before, rows met their carries in joins on the score
     assert "_k" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_cells_of_labels_count_draws_not_pairs(spark):
+    data = [(1, 0, [5]), (1, 0, [6]), (1, 2, [5, 6]), (1, 2, [7])]
+    draws = spark.createDataFrame(data, "lottery_id int, x bigint, next_numbers array<int>")
+    seen = spark.createDataFrame([(1, n) for n in (5, 6, 7, 8)], "lottery_id int, number int")
+    cells = extras.label_cells(draws, seen, "x")
+    want = {(n, x, y): sum(a == x and (n in b) == bool(y) for _, a, b in data) for n in (5, 6, 7, 8) for x in (0, 2) for y in (0, 1)}
+    assert {(r.number, r.x, r.label): r.n for r in cells.collect()} == {k: v for k, v in want.items() if v}
+    bits = {r.number: r.bits for r in extras.mutual_information(cells, "x", weight="n").collect()}
+    assert bits[8] == 0 and bits[5] == 0 and bits[7] == pytest.approx(0.311278, abs=1e-6)

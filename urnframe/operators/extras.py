@@ -283,10 +283,34 @@ def pca_features(features: DataFrame, k: int = 3) -> DataFrame:
     return model.transform(scaled).select(*KEY, *[parts[i].alias(f"pc{i + 1}") for i in range(k)])
 
 
-def mutual_information(rows: DataFrame, feature: str, label: str = "label") -> DataFrame:
-    """Mutual information in bits of a discrete feature and the label, per number."""
+def label_cells(draws: DataFrame, seen: DataFrame, feature: str) -> DataFrame:
+    """How many draws hold each (lottery_id, number, feature value, label), as ``n``.
+
+    ``draws`` has the feature and ``next_numbers`` of every labelled draw. Draws are counted by value and
+    hits by value and number; what is left of a value's draws has label 0. So no draw meets the
+    universe and no table of draws is joined.
+    """
+    value = ["lottery_id", feature]
+    sizes = draws.groupBy(*value).agg(F.count("*").alias("_n"))
+    hits = draws.select(*value, F.explode(F.array_distinct("next_numbers")).alias("number")).groupBy(*value, "number").agg(
+        F.count("*").alias("_hits")
+    )
+    every = sizes.join(seen.select("lottery_id", "number"), "lottery_id").join(hits, [*value, "number"], "left")
+    hit = F.coalesce("_hits", F.lit(0))
+    both = F.array(
+        F.struct(F.lit(1).alias("label"), hit.alias("n")), F.struct(F.lit(0).alias("label"), (F.col("_n") - hit).alias("n"))
+    )
+    return every.select(*value, "number", F.explode(both).alias("c")).select(*value, "number", "c.*").where("n > 0")
+
+
+def mutual_information(rows: DataFrame, feature: str, label: str = "label", weight: str | None = None) -> DataFrame:
+    """Mutual information in bits of a discrete feature and the label, per number.
+
+    A row counts ``weight`` times, or once.
+    """
     by = ["lottery_id", "number"]
-    cells = rows.groupBy(*by, feature, label).agg(F.count("*").cast("double").alias("_xy"))
+    times = F.sum(weight) if weight else F.count("*")
+    cells = checkpoint_frame(rows.groupBy(*by, feature, label).agg(times.cast("double").alias("_xy")))
     x = cells.groupBy(*by, feature).agg(F.sum("_xy").alias("_x"))
     y = cells.groupBy(*by, label).agg(F.sum("_xy").alias("_y"))
     n = cells.groupBy(*by).agg(F.sum("_xy").alias("_n"))

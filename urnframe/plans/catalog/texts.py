@@ -352,9 +352,10 @@ def _(t):
     SELECT lottery_id, number, round(sum(c / n * log2(c * n / (cx * cy))), 6) AS bits FROM w GROUP BY 1, 2""",
 )
 def _(t):
-    consecutive = features.basket_features(t.baskets, t.lottery, ["consecutive_count"])
-    rows = training.next_draw_targets(t.baskets).join(consecutive, ["lottery_id", "draw_number"])
-    return six(extras.mutual_information(rows, "consecutive_count"), "bits")
+    labelled = training.with_next(t.baskets.select("lottery_id", "draw_number", "numbers")).where("next_numbers is not null")
+    draws = labelled.select("lottery_id", "next_numbers", features.consecutive_count().alias("consecutive_count"))
+    cells = extras.label_cells(draws, training.targets_of(t.baskets), "consecutive_count")
+    return six(extras.mutual_information(cells, "consecutive_count", weight="n"), "bits")
 
 
 @job("lasso_selection")
