@@ -29,3 +29,10 @@ def test_nearest_equals_brute_force(spark):
             (sum((a - b) ** 2 for a, b in zip(x, row[2:])), row[1]) for row in train if row[0] == lottery_id
         )
         assert got[(lottery_id, draw)] == [d for _, d in near[:5]]
+
+
+def test_draws_are_not_broadcast(spark):
+    schema = "lottery_id int, draw_number bigint, " + ", ".join(f"{c} double" for c in FEATURE_ORDER)
+    rows = spark.createDataFrame([(1, i, *([float(i)] * len(FEATURE_ORDER))) for i in range(20)], schema)
+    out = nearest(rows.where("draw_number < 15"), rows.where("draw_number >= 15"), k=2)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()

@@ -123,14 +123,14 @@ def evaluate_knn(
     """
     keys = ["lottery_id", "draw_number"]
     after = nexts.select("lottery_id", F.col("draw_number").alias("neighbor"), F.explode("next_numbers").alias("number"))
-    voted = neighbors.join(after, ["lottery_id", "neighbor"]).groupBy(*keys, "number").agg(F.collect_list("rank").alias("_ranks"))
+    voted = neighbors.join(after.hint("merge"), ["lottery_id", "neighbor"]).groupBy(*keys, "number").agg(F.collect_list("rank").alias("_ranks"))
     asked = neighbors.where("rank = 1").select(*keys)
-    truth = asked.join(nexts, keys)
+    truth = asked.join(nexts.hint("merge"), keys)
     held = truth.select(*keys, F.explode("next_numbers").alias("number")).withColumn("_was", F.lit(1))
     by_number = held.groupBy("lottery_id", "number").agg(F.count("*").alias("was"))
     total = truth.groupBy("lottery_id").agg(F.count("*").alias("n"))
     votes = F.size(F.filter("_ranks", lambda r: r <= F.col("k")))
-    rated = voted.join(truth.select(*keys), keys, "left_semi").join(held, [*keys, "number"], "left").join(candidates, "lottery_id")
+    rated = voted.join(truth.select(*keys).hint("merge"), keys, "left_semi").join(held.hint("merge"), [*keys, "number"], "left").join(candidates, "lottery_id")
     said = rated.where(2 * votes >= F.col("k")).groupBy(*CANDIDATE, "number").agg(
         F.count("*").alias("said"), F.count("_was").alias("both")
     )

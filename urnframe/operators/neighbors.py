@@ -35,7 +35,8 @@ def nearest(train: DataFrame, wanted: DataFrame, k: int = 5, per_cell: int = 16)
     can be neighbours, and identical wanted vectors share one search. Vectors live in the cells
     of a grid with one width w on every axis, sized for ``per_cell`` vectors a cell. Whatever
     lies more than r cells away is farther than r * w, so a search over r rings is final when
-    the k-th distance is at most r * w. Otherwise that distance says how many rings are enough,
+    the k-th distance is at most r * w. No table of draws is broadcast: packed well, it would count as
+    small and fill the driver. Otherwise that distance says how many rings are enough,
     and the row searches once more. Ties go to the lower draw number.
     """
     vector = ["lottery_id", *FEATURE_ORDER]
@@ -86,7 +87,7 @@ def nearest(train: DataFrame, wanted: DataFrame, k: int = 5, per_cell: int = 16)
             meet = meet & (F.col(f"w.p{i}") == F.col(f"t.c{i}"))
         pairs = (
             probes.alias("w")
-            .join(grid.alias("t"), meet)
+            .join(grid.hint("merge").alias("t"), meet)
             .select("w.lottery_id", "w.shape", "w.within", _distance("w", "t").alias("d2"), "t.draws")
             .where(F.col("d2") <= F.col("within"))
             .select("lottery_id", "shape", "d2", F.explode("draws").alias("neighbor"))
@@ -100,7 +101,7 @@ def nearest(train: DataFrame, wanted: DataFrame, k: int = 5, per_cell: int = 16)
         full = F.coalesce(F.col("_n") == k, F.lit(False))
         near = full & (F.col("_d") + 1e-6 <= F.pow(F.col("reach") * width, 2))
         enough = F.greatest(F.ceil(F.sqrt(F.col("_d") + 1e-6) / width), F.col("reach") + 1)
-        judged = waiting.join(state, ["lottery_id", "shape"], "left").select(
+        judged = waiting.join(state.hint("merge"), ["lottery_id", "shape"], "left").select(
             *waiting.columns,
             (near | covers).alias("_done"),
             F.when(full, enough).otherwise(F.col("reach") * 2).alias("_next"),
@@ -108,7 +109,7 @@ def nearest(train: DataFrame, wanted: DataFrame, k: int = 5, per_cell: int = 16)
         )
         judged = checkpoint_frame(judged)
         done = judged.where("_done").select("lottery_id", "shape")
-        found.append(top.join(done, ["lottery_id", "shape"], "left_semi"))
+        found.append(top.join(done.hint("merge"), ["lottery_id", "shape"], "left_semi"))
         waiting, left = checkpoint_counted(
             judged.where("not _done")
             .withColumns({"reach": F.col("_next"), "within": F.col("_limit")})
@@ -117,8 +118,8 @@ def nearest(train: DataFrame, wanted: DataFrame, k: int = 5, per_cell: int = 16)
     every = found[0]
     for part in found[1:]:
         every = every.unionByName(part)
-    named = wanted.join(shapes, vector).select("lottery_id", "draw_number", "shape")
-    return named.join(every, ["lottery_id", "shape"]).select(
+    named = wanted.join(shapes.hint("merge"), vector).select("lottery_id", "draw_number", "shape")
+    return named.join(every.hint("merge"), ["lottery_id", "shape"]).select(
         "lottery_id", "draw_number", F.col("rank").cast("long").alias("rank"), "neighbor", "d2"
     )
 
@@ -129,7 +130,7 @@ def knn_votes(neighbors: DataFrame, targets: DataFrame, k: int = 5) -> DataFrame
         "lottery_id", F.col("draw_number").alias("neighbor"), "number"
     )
     votes = (
-        neighbors.join(labels, ["lottery_id", "neighbor"])
+        neighbors.join(labels.hint("merge"), ["lottery_id", "neighbor"])
         .groupBy("lottery_id", "draw_number", "number")
         .agg((F.count("*") / k).alias("score"))
     )
