@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,39 @@ def test_overlapping_classes_keep_clean_rows(spark):
     assert len({r.score for r in toxicity.score_texts(docs, model).collect()}) > 500
 
 
+def test_every_labelled_row_is_learnt_and_counted(spark):
+    """Before, at most 2,500 texts of each label were, whatever the table."""
+    rows, labels = _toxic_rows(5400)
+    rows = [(i, " ".join(text.split()[:4]), lang) for i, text, lang, _, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    marks = spark.createDataFrame(labels + [(8, 0), (-5, 1), (9, None)], "doc_id bigint, toxic int")
+    known = toxicity._labelled(docs, marks).cache()
+    assert known.count() == 5400
+    share = {(r.fold, r.toxic): r["count"] for r in known.groupBy("fold", "toxic").count().collect()}
+    for fold in range(toxicity.NETS):
+        assert abs(share[fold, 1] - 225) <= 9 and abs(share[fold, 0] - 1575) <= 9
+    start = [toxicity.Net(3 + k) for k in range(toxicity.NETS)]
+    nets = toxicity._round(known, start, 9)
+    counts = toxicity._counts(known, nets).groupBy("lang").sum("n", "p").collect()
+    assert {r.lang: r["sum(n)"] for r in counts} == {"aa": 3600, "bb": 1800} and sum(r["sum(p)"] for r in counts) == 675
+    texts = [text for _, text, _ in rows]
+    z = toxicity.logits(nets, pa.array(texts))
+    y = np.array([m for _, m in labels])
+    bad = np.array([any(w in ("vilest", "trashy") for w in t.split()) for t in texts])
+    assert z[bad].mean() > z[y == 0].mean()
+    again = toxicity._round(known.repartition(7), start, 9)  # shards do not depend on partitions
+    assert all((a.flat() == b.flat()).all() for a, b in zip(nets, again))
+
+
+def test_counted_scores_are_those_of_rows():
+    rng = np.random.default_rng(3)
+    z = np.round(rng.normal(size=900), 1)
+    y = (rng.random(900) < 1 / (1 + np.exp(-2 * z))).astype(int)
+    pairs, times = np.unique(np.stack([z, y], 1), axis=0, return_counts=True)
+    assert np.allclose(calibration.platt(pairs[:, 0], pairs[:, 1].astype(int), times), calibration.platt(z, y))
+    assert toxicity._threshold(pairs[:, 0], pairs[:, 1], 0.1, times) == toxicity._threshold(z, y, 0.1)
+
+
 AWKWARD = ["_text", "n_lines", "n_removed", "_k", "_gone", "_hit", "score", "rejected", "set_key", "component_id", "c0", "a.b"]
 
 
