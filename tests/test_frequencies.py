@@ -1,10 +1,12 @@
 """Running frequencies by ranges of draws and AUC by ranges of scores, against brute force; what they shuffle."""
 
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from urnframe.operators import extras, features, metrics, training
+from urnframe.operators import extras, features, metrics, search, training
 
 
 def plan_of(df):
@@ -63,3 +65,17 @@ def test_cells_of_labels_count_draws_not_pairs(spark):
     assert {(r.number, r.x, r.label): r.n for r in cells.collect()} == {k: v for k, v in want.items() if v}
     bits = {r.number: r.bits for r in extras.mutual_information(cells, "x", weight="n").collect()}
     assert bits[8] == 0 and bits[5] == 0 and bits[7] == pytest.approx(0.311278, abs=1e-6)
+
+
+def test_candidates_are_judged_without_rounding_every_state(spark):
+    rng = random.Random(6)
+    edges = [(k * 10 - 5) / 1e9 for k in (rng.randrange(1, 2 * 10**7) for _ in range(3000))]
+    values = [x for e in edges for x in (e, math.nextafter(e, 0), math.nextafter(e, 1))]
+    pairs = [(x, t) for x in values for t in (round(x, 8), round(x + 1e-8, 8), math.nextafter(round(x, 8), 1), rng.random() / 5)]
+    df = spark.createDataFrame(pairs, "x double, t double")
+    assert df.where((F.round("x", 8) >= F.col("t")) != (F.col("x") >= search.least_rounded(F.col("t")))).count() == 0
+    states = spark.createDataFrame([(1, 2, 9, 1, 1, 0.1)], "lottery_id int, seen long, draws long, label int, n long, prior double")
+    tried = spark.createDataFrame([(1, 1, 0.22222222, 0.0, 0), (1, 2, 0.22222223, 0.0, 0)], "lottery_id int, eval_num long, threshold double, alpha double, min_seen int")
+    found = search.evaluate_candidates(states, tried)
+    assert {r.eval_num: r.fitness for r in found.collect()} == {1: 1.0, 2: 0.0}
+    assert "round(" not in plan_of(found)  # before, a decimal number for each state and candidate

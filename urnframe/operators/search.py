@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,6 +52,17 @@ def sample_candidates(
     return rows.select(*keys, "eval_num", *out)
 
 
+def least_rounded(threshold: Column, places: int = 8) -> Column:
+    """The least non-negative double that, rounded half up to ``places`` decimals, reaches ``threshold``.
+
+    A comparison with it stands for rounding every value, which costs a decimal number each.
+    """
+    unit = float(10**places)
+    k = F.ceil(threshold * unit)
+    k = F.when((k - 1) / unit >= threshold, k - 1).when(k / unit < threshold, k + 1).otherwise(k)
+    return (k * 10 - 5) / (unit * 10)
+
+
 def evaluate_candidates(
     counted: DataFrame, candidates: DataFrame, minimise: bool = False
 ) -> DataFrame:
@@ -60,12 +71,12 @@ def evaluate_candidates(
     ``counted`` has rows (lottery_id, seen, draws, label, n): ``n`` times an evaluation state. States may
     be listed more than once; on long histories hardly two are equal, so there they come with n = 1. The rule of a candidate says yes when the number
     was seen ``min_seen`` times and (seen + alpha * prior) / (draws + alpha) reaches its
-    threshold.
+    threshold at eight decimals.
     """
-    small = checked_broadcast(candidates)
+    small = checked_broadcast(candidates.withColumn("_least", least_rounded(F.col("threshold"))))
     rows = counted.join(small, "lottery_id")
     score = (F.col("seen") + F.col("alpha") * F.col("prior")) / (F.col("draws") + F.col("alpha"))
-    said = (F.round(score, 8) >= F.col("threshold")) & (F.col("seen") >= F.col("min_seen"))
+    said = (score >= F.col("_least")) & (F.col("seen") >= F.col("min_seen"))
     hit = F.col("label") == 1
     n = F.col("n")
     sums = rows.groupBy("lottery_id", "eval_num").agg(

@@ -210,7 +210,8 @@ def engine_rows(t):
 
 
 def merged(t):
-    return experiments.merge_duplicate_metrics(engine_rows(t))
+    # Written once: rankings and comparisons pass over these few rows several times.
+    return checkpoint_frame(experiments.merge_duplicate_metrics(engine_rows(t)))
 
 
 @job(
@@ -249,7 +250,7 @@ def _(t):
         FROM merged WHERE engine_type IN ('ml', 'dl') GROUP BY 1""",
 )
 def _(t):
-    rows = checkpoint_frame(merged(t))
+    rows = merged(t)
     wanted = rows.where(F.col("engine_type").isin("ml", "dl")).select("engine_type", "snapshot_id").distinct()
     experiments.require_runs(rows, wanted)
     return six(experiments.compare_runs(rows, wanted, NAMES), *NAMES)
