@@ -79,3 +79,22 @@ def test_candidates_are_judged_without_rounding_every_state(spark):
     found = search.evaluate_candidates(states, tried)
     assert {r.eval_num: r.fitness for r in found.collect()} == {1: 1.0, 2: 0.0}
     assert "round(" not in plan_of(found)  # before, a decimal number for each state and candidate
+
+
+def test_evaluation_draws_stay_where_they_are_counted(spark):
+    """Planned sizes of derived tables are guesses: large ones were dealt by their few lotteries for the cut."""
+    data, baskets = history(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = training.score_counts(training.held_out_draws(baskets))
+        plan = plan_of(scores).split("FlatMapCoGroupsInArrow")[0]
+        got = {tuple(r) for r in scores.select("lottery_id", "draw_number").distinct().collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plan
+    want = set()
+    for k in (1, 2, 3):
+        draws = sorted(d for i, d, _ in data if i == k)
+        at = (len(draws) - 1) * 4 // 5 - 1
+        want |= {(k, d) for d in draws[at + 1 : -1]} if at >= 0 else set()
+    assert got == want
