@@ -1,6 +1,7 @@
 """Toxicity calibration, pipeline stages and awkward columns and rows."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urnframe.llm import calibration, line_spread, multi_index, pigeonhole, signature_join, toxicity
+from urnframe.session import shared_dir
 
 
 def test_calibration_of_overlapping_and_separated_labels():
@@ -164,3 +166,18 @@ def test_pipeline_returns_rows(spark, tmp_path):
     clean = {i for i, m in labels if not m}
     assert len(kept & clean) >= 0.95 * len(clean) and {401, 402} <= kept and not {400, 403} & kept
     assert (out.groupby("doc_id")["length"].sum() == out.groupby("doc_id")["doc_tokens"].first()).all()
+
+
+def test_tables_of_the_way_are_deleted(spark):
+    """What a stage no longer reads does not stay on the disk for the stages behind it."""
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "frames"
+    folder.mkdir(exist_ok=True)
+    words = [" ".join(f"w{i * j % 97}" for j in range(30)) for i in range(12)]
+    docs = spark.createDataFrame([(i, x, "en") for i, x in enumerate(words + words[:3])], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(15)], "doc_id long, toxic int")
+    before = set(folder.iterdir())
+    toxicity.fit(docs, labels)
+    assert set(folder.iterdir()) == before
+    rest = signature_join.one_of_each(docs)
+    assert len(set(folder.iterdir()) - before) <= 3
+    assert {r.doc_id for r in rest.collect()} == set(range(12))

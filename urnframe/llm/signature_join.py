@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urnframe.llm.store import numbered, parts_for, stored, table
+from urnframe.llm.store import numbered, parts_for, passing, stored, table
 from urnframe.llm.text import U64, Words, mix, shingles, slices
 
 N = 5
@@ -504,7 +504,9 @@ def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     """
     rows, new = numbered(docs)
     own_id = F.col(new["doc_id"]).cast("bigint") == F.col("doc_id")
-    every = stored(_classed(docs, n, percent).where("doc_id is not null"))
+    with passing() as made:
+        every = stored(_classed(docs, n, percent).where("doc_id is not null"))
+        made.pop()  # the classes themselves are read further
     found = every.where("set_key is not null")
     seen = found.groupBy("doc_id", "set_key", (F.col("component_id") == F.col("doc_id")).alias("stays")).count()
     sized = stored(seen.where("not stays or count > 1"))

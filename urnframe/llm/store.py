@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from urnframe.session import shared_dir
 
+_open: list[list[DataFrame]] = []
+
 
 def stored(df: DataFrame, *partition_by: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
@@ -20,7 +24,26 @@ def stored(df: DataFrame, *partition_by: str, codec: str = "zstd") -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append(table)
+    return table
+
+
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables that ``stored`` writes inside are deleted at the end, but for those taken off the list.
+
+    For results that no longer read them: values of the driver, or a written table.
+    """
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.pop()
+        for table in made:
+            dropped(table)
 
 
 def dropped(table: DataFrame) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from urnframe.llm.calibration import platt
 from urnframe.llm.sampling import remainder
-from urnframe.llm.store import free_name, stored, table
+from urnframe.llm.store import free_name, passing, stored, table
 from urnframe.llm.text import U64, Words, slices
 
 BUCKETS = 1 << 15
@@ -229,6 +229,7 @@ def _threshold(score: np.ndarray, y: np.ndarray, clean_loss: float = CLEAN_LOSS,
     return float((ranked[last[k]] + below) / 2)
 
 
+@passing()
 def fit(docs: DataFrame, labels: DataFrame, shard: int = SHARD) -> dict:
     """Learn ``labels.toxic`` from every labelled text.
 
