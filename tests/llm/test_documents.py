@@ -5,8 +5,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,37 @@ def test_tokens_equal_the_library(spark):
         assert np.frombuffer(tokens.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_all_texts_at_once_equal_the_library(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(5)
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    marks = [*"aZ1é中!🙂 ", "'s", "22", "...", "<|endoftext|>", *" " * 9, "\u200b", "\ufeff", *spaces]
+    texts = ["".join(marks[k] for k in rng.integers(0, len(marks), rng.integers(0, 14))) for _ in range(3000)]
+    texts += [None, "", " ", "a", *[f"a {c}b" for c in spaces], *[f"a{c} b" for c in spaces]]
+    ids, bounds = pack_curve.tokens_of("byte_bpe_50k").encode_all(pa.array(["x", *texts]).slice(1))
+    for text, low, high in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[low:high].tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def test_each_different_word_is_encoded_once(spark, monkeypatch):
+    encoding = pack_curve.tokens_of("byte_bpe_50k").encoding
+    sizes, encode = [], encoding.encode_ordinary
+    words = [f"w{i:06d}" for i in range(250_000)]
+    texts = [" ".join(words), " ".join(words), "z " + " ".join(words[::-1])]
+    rows = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+    task = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
+    with monkeypatch.context() as patch:
+        patch.setattr(pack_curve, "TaskContext", task)
+        patch.setattr(encoding, "encode_ordinary", lambda text: sizes.append(len(text)) or encode(text))
+        out = pa.Table.from_batches(pack_curve.token_table(rows)([batch])).to_pylist()
+    assert sum(sizes) < 8 * 250_000 + 100 and len(sizes) < 10
+    assert [np.frombuffer(x["ids"], "<u2").tolist() for x in out] == [[*encode(x), 0] for x in texts]
+
+
 def test_hilbert_neighbours_touch():
     side = np.arange(8)
     points = np.stack(np.meshgrid(side, side, side, indexing="ij"), -1).reshape(-1, 3)

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urnframe.llm.store import stored, table
+from urnframe.llm.text import slices
 
 BUCKETS, DIMS, BITS = 256, 3, 10
-CACHE = 200_000
 END = 0
 
 PIECES = (
@@ -30,46 +30,82 @@ PIECES = (
 _loaded: dict[str, "Tokens"] = {}
 
 
-class Tokens(dict):
-    """Token ids of texts, as little-endian 16-bit values; words seen lately are kept.
+class Tokens:
+    """Token ids of texts, as 16-bit values.
 
     A single space between two other characters always begins a new piece of the vocabulary's
-    pattern, so the pieces of a text without other runs of spaces are encoded one by one.
+    pattern, so a text without other runs of spaces is the ids of its words, one after the other.
     """
 
     def __init__(self, ranks_file: str, json_file: str):
-        super().__init__()
-        import regex
         import tiktoken
         from public_tokenizers import PATTERN
 
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.zeros(1 << 16, np.int64)  # bytes of each id
+        self.sizes[list(ranks.values())] = [len(x) for x in ranks]
         self.json_file = json_file
-        self.uneven = regex.compile(r" \s|\s | $").search
         self.special = "<|endoftext|>"
         self.whole = None
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self.encoding.encode_ordinary(piece)
-        value = self[piece] = np.array(ids, "<u2").tobytes()
-        return value
-
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str) -> np.ndarray:
         if self.special in text:  # the special token's own text has an id of its own
             if self.whole is None:
                 from tokenizers import Tokenizer
 
                 self.whole = Tokenizer.from_file(self.json_file)
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        if self.uneven(text):
-            return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
-        first, *rest = text.split(" ")
-        head = self[first] if first else b""
-        return head + b"".join([self[" " + x] for x in rest])
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2")
+        return np.array(self.encoding.encode_ordinary(text), "<u2")
+
+    def encode_all(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), each with the end id behind, and the bounds of each text's ids.
+
+        Each different word of the column is encoded once, all of them as one text.
+        """
+        rows = len(column)
+        if not rows:
+            return np.zeros(0, "<u2"), np.zeros(1, np.int64)
+        column = pc.fill_null(column, "")
+        split = pc.split_pattern(column, " ")
+        bounds = np.asarray(split.offsets)
+        words = split.values.dictionary_encode()
+        code, words = np.asarray(words.indices), words.dictionary
+        heads = bounds[:-1]
+        sizes = np.asarray(pc.binary_length(words), np.int64)
+        # beside other space, or beside none: such texts, and those with the special token, are encoded whole
+        odd = (sizes == 0) | (np.asarray(pc.binary_length(pc.utf8_trim_whitespace(words))) < sizes)
+        flags = odd[code]
+        flags[heads] &= sizes[code[heads]] > 0
+        whole = np.logical_or.reduceat(flags, heads)
+        whole |= pc.match_substring(column, self.special).to_numpy(zero_copy_only=False)
+        inside = np.repeat(whole, np.diff(bounds))
+        plain = ~inside
+        plain[heads] = False
+        used = np.zeros(len(words), bool)
+        used[code[plain]] = True
+        kept = words.filter(pa.array(used))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept), " ")[0].as_py()
+        ids = self.encode(" " + joined if len(kept) else "")
+        cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes[used] + 1)) + 1
+        firsts = pc.if_else(pa.array(whole), column, split.values.take(pa.array(heads)))
+        firsts = [self.encode(x) for x in firsts.to_pylist()]
+        # the ids of each word, of the first word (or the whole text) of each row, of the end, and of nothing
+        counts = np.zeros(len(words) + rows + 2, np.int64)
+        counts[: len(words)][used] = np.diff(cuts, prepend=0)
+        counts[len(words) : -2] = [len(x) for x in firsts]
+        counts[-2] = 1
+        starts = np.cumsum(counts) - counts
+        pool = np.concatenate([ids, *firsts, np.array([END], "<u2")])
+        code = np.where(inside, len(counts) - 1, code)
+        code[heads] = np.arange(len(words), len(words) + rows)
+        code = np.insert(code, bounds[1:], len(counts) - 2)
+        each = counts[code]
+        ends = np.cumsum(each)
+        at = np.repeat(starts[code] - (ends - each), each)
+        at += np.arange(len(at))
+        return pool[at], np.append(0, ends[bounds[1:] + np.arange(rows)])
 
 
 def tokens_of(name: str) -> Tokens:
@@ -113,20 +149,20 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
-def _projection(vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and sign of each token id, and the fixed random plane of the buckets."""
+def _projection(vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signed bucket of each token id (negative ones follow), and the fixed random plane of the buckets."""
     rng = np.random.default_rng(1891)
     bucket = rng.integers(0, BUCKETS, vocabulary)
     sign = rng.choice([-1.0, 1.0], vocabulary)
-    return bucket, sign, rng.normal(size=(BUCKETS, DIMS))
+    return bucket + BUCKETS * (sign < 0), rng.normal(size=(BUCKETS, DIMS))
 
 
-def _place(ids: list[bytes], fixed: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    bucket, sign, plane = fixed
-    points = np.zeros((len(ids), DIMS))
-    for i, body in enumerate(ids):
-        own = np.frombuffer(body, "<u2")
-        vector = np.bincount(bucket[own], sign[own], BUCKETS)
+def _place(ids: np.ndarray, bounds: np.ndarray, fixed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    bucket, plane = fixed
+    points = np.zeros((len(bounds) - 1, DIMS))
+    for i, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        plus, minus = np.bincount(bucket[ids[low:high]], minlength=2 * BUCKETS).reshape(2, BUCKETS)
+        vector = (plus - minus).astype(float)
         points[i] = (vector / max(np.linalg.norm(vector), 1e-12)) @ plane
     unit = 1 / (1 + np.exp(-1.7 * points))  # near the normal distribution's: even use of the cube
     return hilbert(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
@@ -136,18 +172,20 @@ def token_table(docs: DataFrame, vocabulary: str = "byte_bpe_50k") -> DataFrame:
     """Token ids (16-bit, with the end id) and curve place of each row, and a number for the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens_of(vocabulary).encode
+        tokens = tokens_of(vocabulary)
         fixed = _projection(1 << 16)
-        end = np.array([END], "<u2").tobytes()
         slot = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = [encode(x or "") + end for x in batch["text"].to_pylist()]
-            slots = np.arange(slot, slot + len(ids))
-            slot += len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(_place(ids, fixed)), pa.array(slots), pa.array(ids, pa.binary())],
-                ["doc_id", "place", "slot", "ids"],
-            )
+            for part in slices(batch, "text", 1 << 24):
+                ids, bounds = tokens.encode_all(part["text"])
+                offsets = (bounds * 2).astype(np.int32)
+                bodies = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                slots = np.arange(slot, slot + len(part))
+                slot += len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array(_place(ids, bounds, fixed)), pa.array(slots), bodies],
+                    ["doc_id", "place", "slot", "ids"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, place bigint, slot bigint, ids binary")
