@@ -301,6 +301,44 @@ def test_signature_tree_prunes_nothing_similar():
     assert (same(root) == same(want)).all()
 
 
+@pytest.mark.parametrize("wide", [signature_join.WIDE, 50])
+def test_boilerplate_makes_no_wide_jobs(spark, monkeypatch, wide):
+    """Texts that share a passage but are not similar are not compared chunk by chunk; near copies among them are found."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage, rows = [word() for _ in range(30)], []
+    for i in range(300):
+        own = passage + [word() for _ in range(rng.randint(15, 40))]
+        if i % 10 == 1:
+            own = rows[-1][1].split()
+            own[-1] = word()
+        rows.append((i, " ".join(own), "en", "s1", 0, 0))
+    rows += [(i, None if i % 2 else rows[i][1], "en", "s1", 0, 0) for i in range(20)]
+    dealt, deal = [], signature_join._dealt
+    monkeypatch.setattr(signature_join, "_dealt", lambda jobs, percent: (dealt.append(jobs.count()), deal(jobs, percent))[1])
+    monkeypatch.setattr(signature_join, "WIDE", wide)
+    monkeypatch.setattr(signature_join, "CHUNK", 1000 if wide > len(rows) else 10**6)
+    got = Counter(tuple(r) for r in signature_join.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == _components(rows)
+    assert 60 <= sum(dealt) <= 150  # the near copies, one in ten with its original; not the 300
+
+
+def test_signature_join_tests_few_pairs_that_are_not_similar(monkeypatch):
+    rng, similar = np.random.default_rng(2), signature_join.similar
+    for size in (40, 400, 4000):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        sets = []
+        for _ in range(60):  # variants of one set, any two too different
+            own = base.copy()
+            own[rng.random(size) < 0.15] = rng.integers(0, 2**63, 1).astype(np.uint64)
+            own[:: 7] += rng.integers(1, 2**40, len(own[::7])).astype(np.uint64)
+            sets.append(np.unique(own))
+        calls = []
+        monkeypatch.setattr(signature_join, "similar", lambda a, b, percent: (calls.append(1), similar(a, b, percent))[1])
+        assert signature_join.join_sets(sets, np.arange(60), np.ones(60, bool), 80) == []
+        assert len(calls) <= 180  # of 1,770 pairs
+
+
 @pytest.mark.parametrize("hot", [fm_index.HOT, 1])
 def test_fm_index_removes_repeats(docs, rows, hot, monkeypatch):
     monkeypatch.setattr(fm_index, "HOT", hot)

@@ -11,11 +11,16 @@ shingles unshared, so among A's first a-ceil(0.8a)+L and B's first b-ceil(0.8b)+
 least L are shared. With L = max(1, floor(SPARE/100*size)) for each set, the pair shares at least
 the smaller L of the two, and the smaller set has at least 0.8 of the larger one's size. Among
 these first shingles the same argument holds for any order, so it is enough to compare the rarest.
+
+Boilerplate and chance join many documents that are not similar into wide groups. These are grouped
+again by all shingles of their sets: a set keeps the rarest of the shingles that others of wide
+groups have, but for those that it needs for an overlap of 0.8 of its size. By the same argument
+two similar sets share one of them; a set with fewer shingles of others than it needs drops out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +36,10 @@ CELL = 8 << 20  # bytes of input files whose shingles make one cell
 SPARE = 8  # percent of a set by which its prefix is longer than one shared shingle needs
 CHUNK = 1_000_000  # shingles of a group that are joined at a time
 NEAR = 500_000  # ids that may be broadcast to read their texts; above, the same join is a shuffle
+WIDE = 2_000  # documents of a group that is grouped again by whole sets, as is one of several chunks
 HUBS = 64  # documents of a larger group that every chunk of it meets
-BITS = 2048  # of a document's signature
+BITS = 8  # of a document's signature for each shingle of a mean set of its job
+GATHER = 16 << 20  # bytes of signatures that are compared at a time
 NAME = np.dtype([("a", "<u8"), ("b", "<u4"), ("n", "<u4")])  # the key of a set
 
 
@@ -64,6 +71,11 @@ def least_shared(size: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * size // 100)
 
 
+def least_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
+    """Shingles that similar sets of these sizes, or larger ones, share at least: of a union of ``a + b - overlap``."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
 def _spare(size: np.ndarray | int) -> np.ndarray | int:
     return np.maximum(1, SPARE * size // 100)
 
@@ -95,54 +107,70 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
     return _plain(docs).mapInArrow(run, "doc_id bigint, n bigint, set_key binary")
 
 
+def _cell_row(sets: dict[bytes, np.ndarray], cells: int) -> pa.RecordBatch:
+    """Shingles packed by cell: a row has those that fall into a cell, and for each the key of its set."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets.values()])
+    key = np.concatenate([*sets.values()])
+    cell = ((key * U64(0x9E3779B97F4A7C15)) >> U64(32)) % U64(cells)
+    order = np.lexsort((key, cell))
+    key, owner, cell = key[order], owner[order], cell[order].astype(np.int32)
+    at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+    set_keys = np.frombuffer(b"".join(sets), "V16")
+    bodies, owners = [], []
+    for a, b in zip(at, at[1:]):
+        bodies.append(key[a:b].tobytes())
+        mine, local = np.unique(owner[a:b], return_inverse=True)
+        owners.append(
+            np.uint32(len(mine)).tobytes() + set_keys[mine].tobytes()
+            + local.astype(np.uint16 if len(mine) < 65536 else np.uint32).tobytes()
+        )
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cell[at[:-1]]), pa.array(bodies, pa.binary()), pa.array(owners, pa.binary())], ["cell", "keys", "owners"])
+
+
+PACKED = "cell int, keys binary, owners binary"
+
+
 def prefix_cells(docs: DataFrame, n: int, percent: int, cells: int) -> DataFrame:
     """The prefixes of all sets, packed: a row per cell and slice of documents.
 
-    A packed row has the prefix shingles of the slice that fall into a cell, and for each the key
-    of its set. Copies within a slice are one set.
+    Copies within a slice are one set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 sets = shingle_sets(Words(part["text"]), n)
-                first = {_set_key(s): s for s in sets if len(s)}
-                if not first:
-                    continue
-                heads = [s[: _prefix(len(s), percent)] for s in first.values()]
-                owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
-                key = np.concatenate(heads)
-                cell = ((key * U64(0x9E3779B97F4A7C15)) >> U64(32)) % U64(cells)
-                order = np.lexsort((key, cell))
-                key, owner, cell = key[order], owner[order], cell[order].astype(np.int32)
-                at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
-                set_keys = np.frombuffer(b"".join(first), "V16")
-                bodies, owners = [], []
-                for a, b in zip(at, at[1:]):
-                    bodies.append(key[a:b].tobytes())
-                    mine, local = np.unique(owner[a:b], return_inverse=True)
-                    owners.append(
-                        np.uint32(len(mine)).tobytes() + set_keys[mine].tobytes()
-                        + local.astype(np.uint16 if len(mine) < 65536 else np.uint32).tobytes()
-                    )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[at[:-1]]), pa.array(bodies, pa.binary()), pa.array(owners, pa.binary())],
-                    ["cell", "keys", "owners"])
+                heads = {_set_key(s): s[: _prefix(len(s), percent)] for s in sets if len(s)}
+                if heads:
+                    yield _cell_row(heads, cells)
 
-    return _plain(docs).mapInArrow(run, "cell int, keys binary, owners binary")
+    return _plain(docs).mapInArrow(run, PACKED)
 
 
-def _unpack(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of packed rows with their set keys."""
-    keys, owners = [], []
+def whole_cells(sets: DataFrame, cells: int) -> DataFrame:
+    """All shingles of loaded sets, packed as by ``prefix_cells``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "keys", 4 << 20):
+                names, keys = part["set_key"].to_pylist(), part["keys"].to_pylist()
+                yield _cell_row({k: np.frombuffer(x, np.uint64) for k, x in zip(names, keys)}, cells)
+
+    return sets.select("set_key", "keys").mapInArrow(run, PACKED)
+
+
+def _unpack(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of packed rows, the place of each one's set, and the keys of the sets (once a row)."""
+    keys, places, names, m = [], [], [], 0
     for body, packed in zip(part["keys"].to_pylist(), part["owners"].to_pylist()):
         own = np.frombuffer(body, np.uint64)
-        m = int(np.frombuffer(packed, np.uint32, 1)[0])
-        ids = np.frombuffer(packed, "V16", m, 4)
-        local = np.frombuffer(packed, np.uint16 if m < 65536 else np.uint32, len(own), 4 + 16 * m)
+        k = int(np.frombuffer(packed, np.uint32, 1)[0])
+        names.append(np.frombuffer(packed, NAME, k, 4))
+        places.append(np.frombuffer(packed, np.uint16 if k < 65536 else np.uint32, len(own), 4 + 16 * k) + np.int64(m))
         keys.append(own)
-        owners.append(ids[local])
-    return np.concatenate(keys), np.concatenate(owners)
+        m += k
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(names)
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -162,7 +190,7 @@ def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
 
 
 def _shared_counts(buckets: int):
-    """Prefix shingles that several sets have in their prefixes, and how many.
+    """Packed shingles that several sets have, and how many.
 
     They are packed: a row per cell and bucket of set keys has a set key, a shingle and a count
     per place.
@@ -170,26 +198,26 @@ def _shared_counts(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs_of(batches, "cell"):
-            key, owner = _unpack(part)
-            order = np.argsort(key, kind="stable")
-            key, owner = key[order], owner[order]
+            key, place, names = _unpack(part)
+            order = np.argsort(key)
+            key, place = key[order], place[order]
             at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             uses = np.diff(np.r_[at, len(key)])
-            run = np.repeat(np.arange(len(at)), uses)
-            several = np.flatnonzero(np.repeat(uses, uses) > 1)
-            if not len(several):
+            several = np.repeat(uses > 1, uses)
+            if not several.any():
                 continue
             # the same set may come from two slices: count different sets of a shingle
-            names, who = np.unique(owner[several].view(NAME), return_inverse=True)
-            pair = np.unique(np.stack([run[several], who.ravel()], 1), axis=0)
-            _, back, different = np.unique(pair[:, 0], return_inverse=True, return_counts=True)
-            count = different[back]
-            pair, count = pair[count > 1], count[count > 1].astype(np.uint32)
-            if not len(pair):
+            used, who = np.unique(place[several], return_inverse=True)
+            names, same = np.unique(names[used], return_inverse=True)
+            pair = np.unique(np.repeat(np.arange(len(at)), uses)[several] * len(names) + same[who])
+            run, who = np.divmod(pair, len(names))
+            count = np.bincount(run)[run]
+            run, who, count = run[count > 1], who[count > 1], count[count > 1].astype(np.uint32)
+            if not len(run):
                 continue
-            bucket = (names["a"][pair[:, 1]] % U64(buckets)).astype(np.int32)
-            order = np.lexsort((pair[:, 0], pair[:, 1], bucket))
-            name, key, count, bucket = names[pair[order, 1]], key[at[pair[order, 0]]], count[order], bucket[order]
+            bucket = (names["a"][who] % U64(buckets)).astype(np.int32)
+            order = np.lexsort((run, who, bucket))
+            name, key, count, bucket = names[who[order]], key[at[run[order]]], count[order], bucket[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
             packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in (name, key, count)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *packed], ["bucket", "names", "keys", "counts"])
@@ -197,10 +225,10 @@ def _shared_counts(buckets: int):
     return run
 
 
-def _rarest(percent: int):
-    """Of each candidate set, the shared prefix shingles among its rarest; see the module's proof.
+def _rarest(needed: Callable[[np.ndarray], np.ndarray]):
+    """Of each candidate set, the shared shingles among its rarest; see the module's proof.
 
-    Prefix shingles that no other set has are the rarest, so they use up places: of ``s`` shared
+    Shingles that no other set has are the rarest, so they use up places: of ``s`` shared
     ones ``s - needed + 1`` are left. A set with fewer than ``needed`` is similar to no other.
     """
 
@@ -214,7 +242,7 @@ def _rarest(percent: int):
             name, key = name[order], key[order]
             cuts = np.flatnonzero(np.r_[True, name[1:] != name[:-1], True])
             shared = np.diff(cuts)
-            places = shared - _needed(name["n"][cuts[:-1]].astype(np.int64), percent) + 1
+            places = shared - needed(name["n"][cuts[:-1]].astype(np.int64)) + 1
             keep = np.arange(len(key)) - np.repeat(cuts[:-1], shared) < np.repeat(places, shared)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x.tobytes() for x in name[keep]], pa.binary()), pa.array(key[keep].view(np.int64))],
@@ -224,6 +252,35 @@ def _rarest(percent: int):
     return run
 
 
+def _rare(packed: DataFrame, cells: int, needed: Callable[[np.ndarray], np.ndarray], ids: DataFrame) -> DataFrame:
+    """Id and shingle of the rarest shared shingles of packed sets; ``ids`` has an id for each ``set_key``."""
+    packed = packed.repartition(cells, "cell").sortWithinPartitions("cell")
+    shared = packed.mapInArrow(_shared_counts(cells), "bucket int, names binary, keys binary, counts binary")
+    dealt = shared.repartition(cells, "bucket").sortWithinPartitions("bucket")
+    rarest = dealt.mapInArrow(_rarest(needed), "set_key binary, shingle bigint")
+    return rarest.join(ids, "set_key").select("id", "shingle")
+
+
+def _groups(rare: DataFrame) -> DataFrame:
+    """``id`` and ``root`` of what is joined by shared shingles."""
+    low = rare.groupBy("shingle").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    groups = components(rare.join(low, "shingle").select(F.col("id").alias("a"), "b")).withColumnRenamed("node", "id")
+    return groups.unionByName(groups.select("root").distinct().select(F.col("root").alias("id"), "root"))
+
+
+def _chunked(members: DataFrame) -> DataFrame:
+    """``members`` (id, n, set_key, root) with the chunk of each in its group, and the group's size."""
+    weight = members.groupBy("root").agg(
+        F.ceil(F.sum("n") / CHUNK).cast("bigint").alias("chunks"), F.count(F.lit(1)).alias("size")
+    )
+    apart = F.ceil(F.col("size") / HUBS)
+    return members.join(weight, "root").select(
+        "id", "n", "set_key", "root", "chunks", "size",
+        F.pmod(F.xxhash64("id"), "chunks").alias("chunk"),
+        ((F.col("chunks") > 1) & (F.pmod(F.xxhash64("id", F.lit(9)), apart) == 0)).alias("hub"),
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``(a, b)`` edges: node and the least node of its component.
 
@@ -287,10 +344,11 @@ class Tree:
             front = front[keep]
             i, j = front[:, 0], front[:, 1]
             both = np.zeros(len(front), np.int64)
-            for at in range(0, len(front), 4096):
-                own = slice(at, at + 4096)
+            step = max(1, GATHER // a[0][:1].nbytes)
+            for at in range(0, len(front), step):
+                own = slice(at, at + step)
                 both[own] = np.bitwise_count(a[0][i[own]] & b[0][j[own]]).sum(1, dtype=np.int64)
-            need = least_shared(np.maximum(a[1][i], b[1][j]), percent)
+            need = np.maximum(least_shared(np.maximum(a[1][i], b[1][j]), percent), least_overlap(a[1][i], b[1][j], percent))
             front = front[both + np.minimum(a[3][i], b[3][j]) >= need]
             if down == 0:
                 break
@@ -313,10 +371,13 @@ class Tree:
 
 
 def _bitmap(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), BITS // 8), np.uint8)
+    """A signature of each set: as many bits, a power of two, as sets of the mean size need to differ."""
+    mean = sum(map(len, sets)) // len(sets)
+    bits = 1 << min(max((BITS * mean).bit_length(), 8), 16)
+    out = np.zeros((len(sets), bits // 8), np.uint8)
     for i, s in enumerate(sets):
-        hit = np.zeros(BITS, np.uint8)
-        hit[(s % U64(BITS)).astype(np.int64)] = 1
+        hit = np.zeros(bits, np.uint8)
+        hit[(s % U64(bits)).astype(np.int64)] = 1
         out[i] = np.packbits(hit)
     return out.view(np.uint64)
 
@@ -343,7 +404,7 @@ def join_sets(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, perce
             label[label == label[j]] = label[i]
 
     def candidates(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        need = least_shared(np.maximum(sizes[i], sizes[j]), percent)
+        need = least_overlap(sizes[i], sizes[j], percent)
         may = np.flatnonzero((left[i] | left[j]) & (label[i] != label[j]) & (np.minimum(sizes[i], sizes[j]) >= need))
         out = np.zeros(len(i), bool)
         i, j, need = i[may], j[may], need[may]
@@ -357,8 +418,9 @@ def join_sets(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, perce
         test(int(middle[0]), int(i))  # most copies are near to one of middle size
     spread = np.arange(tree.leaf)
     pairs = tree.pairs(tree, percent)
-    for at in range(0, len(pairs), 1024):
-        a, b = pairs[at : at + 1024, :1], pairs[at : at + 1024, 1:]
+    step = min(1024, max(1, GATHER // (tree.leaf * tree.leaf * bits[:1].nbytes)))
+    for at in range(0, len(pairs), step):
+        a, b = pairs[at : at + step, :1], pairs[at : at + step, 1:]
         i = np.repeat(a * tree.leaf + spread, tree.leaf, 1).ravel()
         j = np.tile(b * tree.leaf + spread, (1, tree.leaf)).ravel()
         ok = np.flatnonzero((i < j) & (j < len(own)))
@@ -387,8 +449,9 @@ def _join_jobs(percent: int):
 def _loaded(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """The sets of the members of groups, from the texts."""
 
+    names = ["root", "chunk", "chunks", "size", "hub", "id", "n", "set_key"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["root", "chunk", "chunks", "hub", "doc_id", "n"]
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(Words(part["text"]), n)
@@ -396,13 +459,22 @@ def _loaded(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
                 own = np.array([_set_key(s) == k for s, k in zip(sets, part["set_key"].to_pylist())], bool)
                 kept = part.filter(pa.array(own))
                 keys = pa.array([s.tobytes() for s, ok in zip(sets, own) if ok], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(kept[c] for c in names), keys], [*names[:4], "id", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([*(kept[c] for c in names), keys], [*names, "keys"])
 
-    texts = _plain(docs)
+    texts = _plain(docs).withColumnRenamed("doc_id", "id")
     if members.count() <= NEAR:
-        texts = texts.join(F.broadcast(members.select("doc_id")), "doc_id", "left_semi")
-    texts = texts.join(members, "doc_id")
-    return texts.mapInArrow(run, "root bigint, chunk bigint, chunks bigint, hub boolean, id bigint, n bigint, keys binary")
+        texts = texts.join(F.broadcast(members.select("id")), "id", "left_semi")
+    texts = texts.join(members, "id")
+    return texts.mapInArrow(run, texts.select(*names).schema.add("keys", "binary"))
+
+
+def _regrouped(wide: DataFrame, percent: int) -> DataFrame:
+    """The loaded sets of wide groups in new groups, by all their shingles; what is similar to none is left out."""
+    cells = max(1, -(-wide.agg(F.sum("n")).first()[0] // CHUNK))
+    known = wide.select("id", "n", "set_key").distinct()  # a repeated row is loaded each time
+    rare = stored(_rare(whole_cells(wide, cells), cells, lambda size: least_shared(size, percent), known))
+    members = _chunked(_groups(rare).join(known, "id"))
+    return wide.select("id", "set_key", "keys").join(members, ["id", "set_key"]).select(wide.columns)
 
 
 def _dealt(jobs: DataFrame, percent: int) -> DataFrame:
@@ -465,24 +537,12 @@ def _classed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     classes = stored(
         info.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).where("doc_id is not null")
     )
-    packed = prefix_cells(docs, n, percent, cells).repartition(cells, "cell").sortWithinPartitions("cell")
-    shared = packed.mapInArrow(_shared_counts(cells), "bucket int, names binary, keys binary, counts binary")
-    dealt = shared.repartition(cells, "bucket").sortWithinPartitions("bucket")
-    rarest = dealt.mapInArrow(_rarest(percent), "set_key binary, shingle bigint")
-    rare = stored(rarest.join(classes, "set_key").select(F.col("doc_id").alias("id"), "shingle"))
-    low = rare.groupBy("shingle").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    groups = components(rare.join(low, "shingle").select(F.col("id").alias("a"), "b"))
-    roots = groups.select("root").distinct().select(F.col("root").alias("node"), "root")
-    members = groups.unionByName(roots).join(classes.select(F.col("doc_id").alias("node"), "n", "set_key"), "node")
-    weight = members.groupBy("root").agg(
-        F.ceil(F.sum("n") / CHUNK).cast("bigint").alias("chunks"), F.ceil(F.count(F.lit(1)) / HUBS).alias("apart")
-    )
-    members = members.join(weight, "root").select(
-        F.col("node").alias("doc_id"), "n", "set_key", "root", "chunks",
-        F.pmod(F.xxhash64("node"), "chunks").alias("chunk"),
-        ((F.col("chunks") > 1) & (F.pmod(F.xxhash64("node", F.lit(9)), F.col("apart")) == 0)).alias("hub"),
-    )
-    sets = stored(_loaded(docs, stored(members), n))
+    ids = classes.withColumnRenamed("doc_id", "id")
+    rare = stored(_rare(prefix_cells(docs, n, percent, cells), cells, lambda size: _needed(size, percent), ids))
+    sets = stored(_loaded(docs, stored(_chunked(_groups(rare).join(ids, "id"))), n))
+    wide = sets.where((F.col("chunks") > 1) | (F.col("size") > WIDE))
+    if not wide.isEmpty():
+        sets = sets.where((F.col("chunks") <= 1) & (F.col("size") <= WIDE)).unionByName(stored(_regrouped(wide, percent)))
     joined = components(_all_links(sets, percent)).select(F.col("node").alias("least"), F.col("root").alias("component_id"))
     named = classes.select("set_key", F.col("doc_id").alias("least")).join(joined, "least", "left")
     named = named.select("set_key", F.coalesce("component_id", "least").alias("component_id"))
